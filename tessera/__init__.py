@@ -1 +1 @@
-"""Evidence retrieval analytics on Spark DataFrames."""
+"""Evidence retrieval analytics over DataFrames."""

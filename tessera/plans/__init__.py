@@ -1 +1 @@
-
+"""Composed plans: the engine, the query registry and its SQL."""

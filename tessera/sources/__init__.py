@@ -1 +1 @@
-
+"""Connectors, record parsers, settings and exports."""
