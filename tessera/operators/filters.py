@@ -51,7 +51,7 @@ def confidence(ranked: DataFrame, queries: DataFrame, scale: float = 20.0, least
     sure = F.least(F.lit(1.0), F.col("s1") / scale)
     apart = F.when(F.col("s5").isNull(), F.lit(0.0)).otherwise(F.col("s1") - F.col("s5"))
     both = queries.select("query_id").distinct().join(got, "query_id", "left")
-    return both.select("query_id", F.coalesce(F.round(sure, 6), F.lit(0.0)).alias("confidence"), F.coalesce(F.round(apart, 6), F.lit(0.0)).alias("gap"), F.coalesce(F.round("mean5", 6), F.lit(0.0)).alias("mean_top5"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce((sure < least) & (apart < gap), F.lit(True)).alias("abstain"))
+    return both.select("query_id", F.when(F.col("s1").isNull(), 0.0).otherwise(F.round(sure, 6)).alias("confidence"), F.coalesce(F.round(apart, 6), F.lit(0.0)).alias("gap"), F.coalesce(F.round("mean5", 6), F.lit(0.0)).alias("mean_top5"), F.coalesce("n", F.lit(0)).alias("n"), (F.col("s1").isNull() | ((sure < least) & (apart < gap))).alias("abstain"))
 
 
 def hydrate(ranked: DataFrame, docs: DataFrame, title_chars: int = 200, text_chars: int = 300) -> DataFrame:

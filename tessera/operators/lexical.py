@@ -93,15 +93,13 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
 def pad_zero(scored: DataFrame, index: Index, queries: DataFrame, k: int) -> DataFrame:
     """Adds unmatched chunks at score 0 in corpus order.
 
-    No list of k needs other unmatched chunks than the first k of them, and of
-    those at most the number that it is short of.  Below 2k places from the
-    start there may be k that matched, so each query looks at its first
-    ``k + matched`` places, where matched is capped at the list's own need.
+    A list needs at most as many as it has places without a positive score, and
+    they are the first of the corpus that it did not match; so only its first
+    ``k + matched`` places are looked at, and only by the lists that are short.
     """
     asked = queries.select("query_id").distinct()
-    held = scored.where("score >= 0").groupBy("query_id").agg(F.least(F.count("*"), F.lit(k)).alias("held"))
+    held = scored.where("score > 0").groupBy("query_id").agg(F.least(F.count("*"), F.lit(k)).alias("held"))
     needy = asked.join(held, "query_id", "left").select("query_id", (k - F.coalesce("held", F.lit(0))).alias("short")).where("short > 0")
-    # a short list has fewer than k matches at 0 or above; negative ones may lie among the first places too
     many = scored.join(needy, "query_id").groupBy("query_id").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("m")).first()["m"]
     first = index.lengths.orderBy("pos").limit(int(k + many)).select("pos")
     extra = needy.crossJoin(first).join(scored.select("query_id", "pos"), ["query_id", "pos"], "left_anti")

@@ -51,8 +51,8 @@ def verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     space = r"[ \t\n\x0B\f\r]+"
     inner = F.slice(F.split("text", space), 2, F.greatest(F.size(F.split("text", space)) - 2, F.lit(0)))
-    longest = F.element_at(F.array_sort(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)
-    asked = items.where("text <> ''").select("query_id", F.col("text").alias("sought"), F.try_element_at(F.array(longest["w"]), F.lit(1)).alias("word"))
+    longest = F.try_element_at(F.array_sort(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))
+    asked = items.where("text <> ''").select("query_id", F.col("text").alias("sought"), longest["w"].alias("word"))
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", space))).alias("word"))
     near = words.join(asked.where("word is not null").select("query_id", "word"), "word").select("doc_id", "query_id")
     held = docs.select("doc_id", "text")

@@ -269,8 +269,8 @@ def read_document(spark, d):
     return out.select("doc_id", F.coalesce(F.size("chunks"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.array_join(line, ","), F.lit("")).alias("parts"))
 
 
-@query(sql.statement(sql.CORPUS, sql.asked(), sql.scored(), sql.top("best", "scored", 10), f"got AS (SELECT query_id, max(score) FILTER (rank = 1) AS s1, max(score) FILTER (rank = 5) AS s5, avg(score) FILTER (rank <= 5) AS m5, count(*) AS n FROM best GROUP BY query_id)", select=f"""SELECT q.query_id, coalesce(round(least(1.0, s1 / 20), 6), 0) AS confidence, coalesce(round(CASE WHEN s5 IS NULL THEN 0 ELSE s1 - s5 END, 6), 0) AS gap, coalesce(round(m5, 6), 0) AS mean_top5, coalesce(n, 0) AS n,
-coalesce(least(1.0, s1 / 20) < 0.3 AND CASE WHEN s5 IS NULL THEN 0 ELSE s1 - s5 END < 2, true) AS abstain FROM ({sql.ITEMS}) q LEFT JOIN got ON q.query_id = got.query_id"""))
+@query(sql.statement(sql.CORPUS, sql.asked(), sql.scored(), sql.top("best", "scored", 10), f"got AS (SELECT query_id, max(score) FILTER (rank = 1) AS s1, max(score) FILTER (rank = 5) AS s5, avg(score) FILTER (rank <= 5) AS m5, count(*) AS n FROM best GROUP BY query_id)", select=f"""SELECT q.query_id, CASE WHEN s1 IS NULL THEN 0 ELSE round(least(1.0, s1 / 20), 6) END AS confidence, coalesce(round(CASE WHEN s5 IS NULL THEN 0 ELSE s1 - s5 END, 6), 0) AS gap, coalesce(round(m5, 6), 0) AS mean_top5, coalesce(n, 0) AS n,
+s1 IS NULL OR (least(1.0, s1 / 20) < 0.3 AND CASE WHEN s5 IS NULL THEN 0 ELSE s1 - s5 END < 2) AS abstain FROM ({sql.ITEMS}) q LEFT JOIN got ON q.query_id = got.query_id"""))
 def confidence(spark, d):
     items = _items(spark, d)
     return filters.confidence(lexical.bm25(_chunks(spark, d), items, 10), items)
