@@ -2,9 +2,9 @@
 
 Statistics (document frequencies, mean length) always cover the whole corpus;
 postings are made only for terms that some query has, before any shuffle, so a
-batch of queries costs one tokenising pass, one shuffle of the vocabulary with
-map-side counts and one of the matching postings.  An ``Index`` keeps postings,
-lengths and statistics as tables, for many batches over one corpus.
+batch of queries costs two tokenising passes, one shuffle of the vocabulary with
+map-side counts and two of the matching postings.  An ``Index`` keeps postings
+and statistics as tables, for many batches over one corpus.
 """
 
 from __future__ import annotations
@@ -23,24 +23,23 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclass
 class Index:
-    """lengths (pos, dl), postings (term, pos, tf), terms (term, df, idf),
-    and one row of totals (n, avgdl)."""
+    """postings (term, pos, dl, tf), terms (term, df, idf), one row of totals
+    (n, avgdl), and the corpus's places (pos)."""
 
-    lengths: DataFrame
     postings: DataFrame
     terms: DataFrame
     totals: DataFrame
+    places: DataFrame
 
     def save(self, path: str) -> None:
         """Postings are clustered by term, so a query reads few row groups."""
         self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.totals.write.mode("overwrite").parquet(f"{path}/totals")
+        for name in ("terms", "totals", "places"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("lengths", "postings", "terms", "totals")))
+        return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "totals", "places")))
 
 
 def tokenised(corpus: DataFrame, pos: str = "pos", text: str = "text") -> DataFrame:
@@ -48,9 +47,16 @@ def tokenised(corpus: DataFrame, pos: str = "pos", text: str = "text") -> DataFr
 
 
 def term_statistics(tokenised_: DataFrame, epsilon: float = EPSILON) -> tuple[DataFrame, DataFrame]:
-    """(terms, totals).  A negative idf becomes epsilon times the mean idf."""
-    totals = tokenised_.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    df = tokenised_.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """(terms, totals) from one pass: a marker row per chunk carries its length.
+
+    A negative idf becomes epsilon times the mean idf.  The counts, one row a
+    term, are written; everything later reads those.
+    """
+    marker = F.array(F.lit(None).cast("string"))
+    each = tokenised_.select(F.size("tokens").alias("dl"), F.explode(F.concat(F.array_distinct("tokens"), marker)).alias("term"))
+    counts = store.written(each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl")))
+    totals = counts.where("term is null").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    df = counts.where("term is not null").select("term", "df")
     raw = df.crossJoin(totals.select("n"))  # totals is one row
     raw = raw.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     floor = raw.agg((F.lit(epsilon) * F.avg("raw")).alias("floor"))
@@ -58,16 +64,18 @@ def term_statistics(tokenised_: DataFrame, epsilon: float = EPSILON) -> tuple[Da
     return terms, totals
 
 
-def build(corpus: DataFrame, pos: str = "pos", text: str = "text", only: DataFrame | None = None, epsilon: float = EPSILON) -> Index:
-    """Index of a corpus; with ``only`` (term), postings of those terms alone."""
-    held = store.written(tokenised(corpus, pos, text))
-    terms, totals = term_statistics(held, epsilon)
-    terms = store.written(terms)
-    flat = held.select("pos", F.explode("tokens").alias("term"))
+def build(corpus: DataFrame, pos: str = "pos", text: str = "text", only: DataFrame | None = None, epsilon: float = EPSILON, keep: bool = False) -> Index:
+    """Index of a corpus; with ``only`` (term), postings of those terms alone.
+
+    ``keep`` writes the postings, for plans that score them more than once.
+    """
+    tokens = tokenised(corpus, pos, text)
+    terms, totals = term_statistics(tokens, epsilon)
+    flat = tokens.select("pos", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     if only is not None:
         flat = flat.join(only.select("term").distinct(), "term", "left_semi")
-    postings = flat.groupBy("term", "pos").agg(F.count("*").alias("tf"))
-    return Index(held.select("pos", F.size("tokens").alias("dl")), postings, terms, totals)
+    postings = flat.groupBy("term", "pos", "dl").agg(F.count("*").alias("tf"))
+    return Index(store.written(postings) if keep else postings, terms, totals, corpus.select(F.col(pos).alias("pos")))
 
 
 def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
@@ -80,7 +88,7 @@ def score(index: Index, asked: DataFrame, k1: float = K1, b: float = B) -> DataF
     weighted = asked.join(index.terms.select("term", "idf"), "term")
     long = F.lit(1 - b) + b * F.col("dl") / F.col("avgdl")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * long)
-    met = index.postings.join(weighted, "term").join(index.lengths, "pos").crossJoin(index.totals.select("avgdl"))
+    met = index.postings.join(weighted, "term").crossJoin(index.totals.select("avgdl"))
     return met.groupBy("query_id", "pos").agg(F.round(F.sum(part), 6).alias("score"))
 
 
@@ -101,7 +109,7 @@ def pad_zero(scored: DataFrame, index: Index, queries: DataFrame, k: int) -> Dat
     held = scored.where("score > 0").groupBy("query_id").agg(F.least(F.count("*"), F.lit(k)).alias("held"))
     needy = asked.join(held, "query_id", "left").select("query_id", (k - F.coalesce("held", F.lit(0))).alias("short")).where("short > 0")
     many = scored.join(needy, "query_id").groupBy("query_id").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("m")).first()["m"]
-    first = index.lengths.orderBy("pos").limit(int(k + many)).select("pos")
+    first = index.places.orderBy("pos").limit(int(k + many)).select("pos")
     extra = needy.crossJoin(first).join(scored.select("query_id", "pos"), ["query_id", "pos"], "left_anti")
     extra = extra.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))).where("n <= short")
     return scored.unionByName(extra.select("query_id", "pos", F.lit(0.0).alias("score")))
@@ -128,7 +136,7 @@ def rm3(index: Index, queries: DataFrame, k: int, feedback: int = 10, terms: int
     asked = query_terms(queries)
     first = top_k(score(index, asked, k1, b), feedback).where("score > 0")
     share = first.withColumn("share", F.col("score") / F.sum("score").over(Window.partitionBy("query_id")))
-    model = share.join(index.postings, "pos").join(index.lengths, "pos").groupBy("query_id", "term").agg(F.sum(F.col("share") * F.col("tf") / F.col("dl")).alias("p"))
+    model = share.join(index.postings, "pos").groupBy("query_id", "term").agg(F.sum(F.col("share") * F.col("tf") / F.col("dl")).alias("p"))
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("p", 9)), "term")
     model = model.withColumn("n", F.row_number().over(best)).where(F.col("n") <= terms)
     model = model.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("query_id")))

@@ -25,7 +25,7 @@ class EvidenceEngine:
     @cached_property
     def index(self) -> lexical.Index:
         """Built by the first lexical search unless one was given."""
-        return self._index or lexical.build(self.chunks)
+        return self._index or lexical.build(self.chunks, keep=True)
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -50,7 +50,7 @@ def _items(spark, d) -> DataFrame:
 
 def _index(spark, d, queries: DataFrame | None = None) -> lexical.Index:
     queries = _items(spark, d) if queries is None else queries
-    return lexical.build(_chunks(spark, d), only=lexical.query_terms(queries).select("term"))
+    return lexical.build(_chunks(spark, d), only=lexical.query_terms(queries).select("term"), keep=True)
 
 
 def _gold(spark, d) -> DataFrame:
@@ -185,7 +185,7 @@ def bm25_published_k1(spark, d):
 
 @query()
 def rm3_topk(spark, d):
-    index = lexical.build(_chunks(spark, d))
+    index = lexical.build(_chunks(spark, d), keep=True)
     return lexical.rm3(index, _items(spark, d), 10).select("query_id", F.col("pos").alias("doc_id"), "score", "rank")
 
 
@@ -696,7 +696,7 @@ def two_rounds(open_tasks: DataFrame, r: int) -> DataFrame:
 @query(sql.statement(*_SEARCHES, "u AS (SELECT query_id, source, min(r) AS r FROM (SELECT query_id, source, 1000 + rank AS r FROM one_a UNION ALL SELECT query_id, source, 2000 + rank FROM one_b) GROUP BY ALL)", "l AS (SELECT query_id, string_agg(source, ',' ORDER BY r) FILTER (n <= 20) AS docs, count(*) AS total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS n FROM u) GROUP BY query_id)", select=f"SELECT q.query_id, coalesce(docs, '') AS docs, coalesce(total, 0) AS total FROM ({sql.ITEMS}) q LEFT JOIN l ON q.query_id = l.query_id"))
 def agent_rounds(spark, d):
     items, chunks = _items(spark, d), _chunks(spark, d)
-    search = agent.environment(lexical.build(chunks), chunks)
+    search = agent.environment(lexical.build(chunks, keep=True), chunks)
     docs = _t(spark, d, "documents").groupBy(F.col("source").alias("doc_id")).agg(F.min_by("text", "doc_id").alias("text"))
     runs, _ = agent.run(items, two_rounds, search, docs)
     return runs.select("query_id", F.array_join("retrieved_docs", ",").alias("docs"), F.col("total_docs_seen").alias("total"))
