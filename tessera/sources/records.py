@@ -134,6 +134,11 @@ def _summary_text(node: ET.Element | None) -> str:
     return " ".join(parts) or _inner(node)
 
 
+def _section(*parts: str) -> dict:
+    """Heading, type, heading above, text."""
+    return dict(zip(("heading", "section_type", "parent_heading", "text", "char_count"), (*parts, len(parts[-1]))))
+
+
 def _body_sections(body: ET.Element | None) -> list[dict]:
     if body is None:
         return []
@@ -145,10 +150,10 @@ def _body_sections(body: ET.Element | None) -> list[dict]:
         if text:
             parent = above.get(sec)
             over = _inner(parent.find("title")) if parent is not None and parent.tag == "sec" else ""
-            out.append({"heading": heading, "section_type": _type_of(heading), "parent_heading": over, "text": text, "char_count": len(text)})
+            out.append(_section(heading, _type_of(heading), over, text))
     whole = _tidy(_inner(body)) if not out else ""
     if len(whole) > 50:
-        out.append({"heading": "", "section_type": "body", "parent_heading": "", "text": whole, "char_count": len(whole)})
+        out.append(_section("", "body", "", whole))
     return out
 
 
