@@ -39,25 +39,37 @@ def features(run: DataFrame, tasks: DataFrame, main: str = "bm25") -> DataFrame:
     )
 
 
-def auroc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """(auroc) by rank sums of the distinct scores; ties share their mean rank.
+_RANGES = 1024
 
-    Counts are made for each score first, so the window runs over those alone.
-    """
-    by = scored.groupBy(F.col(score).alias("s")).agg(F.sum(label).alias("p"), F.count("*").alias("n"))
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by.withColumn("before", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    total = ranked.agg(F.sum(F.col("p") * (F.col("before") + (F.col("n") + 1) / 2)).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+
+def _cumulative(scored: DataFrame, score: str, label: str, upwards: bool) -> DataFrame:
+    """(s, p, n, upto_p, upto_n): counts of each distinct score and of all up to
+    it, in order.  Scores are cut into ranges of equal width that are summed one
+    by one, so only the totals of the ranges pass through a single window."""
+    by = scored.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(label).alias("p"), F.count("*").alias("n")).where("s is not null")
+    ends = by.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))  # one row
+    width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
+    by = by.crossJoin(ends).select("s", "p", "n", F.coalesce(F.floor((F.col("s") - F.col("lo")) / width * _RANGES), F.lit(0)).alias("r"))
+    order = (lambda c: F.asc(c)) if upwards else (lambda c: F.desc(c))
+    before = Window.orderBy(order("r")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = by.groupBy("r").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn")).select("r", F.coalesce(F.sum("rp").over(before), F.lit(0)).alias("bp"), F.coalesce(F.sum("rn").over(before), F.lit(0)).alias("bn"))
+    within = Window.partitionBy("r").orderBy(order("s")).rowsBetween(Window.unboundedPreceding, 0)
+    inner = by.select("r", "s", "p", "n", F.sum("p").over(within).alias("wp"), F.sum("n").over(within).alias("wn"))
+    return inner.join(ranges, "r").select("s", "p", "n", (F.col("bp") + F.col("wp")).alias("upto_p"), (F.col("bn") + F.col("wn")).alias("upto_n"))
+
+
+def auroc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """(auroc) by rank sums of the distinct scores; ties share their mean rank."""
+    cum = _cumulative(scored, score, label, True)
+    total = cum.agg(F.sum(F.col("p") * (F.col("upto_n") - F.col("n") + (F.col("n") + 1) / 2)).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     neg = F.col("n") - F.col("p")
     return total.select(F.when((F.col("p") > 0) & (neg > 0), F.round((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * neg), 6)).alias("auroc"))
 
 
 def average_precision(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """(average_precision): precision at each distinct score times recall gained."""
-    by = scored.groupBy(F.col(score).alias("s")).agg(F.sum(label).alias("p"), F.count("*").alias("n"))
-    upto = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    cum = by.select("p", F.sum("p").over(upto).alias("tp"), F.sum("n").over(upto).alias("seen"))
-    return cum.agg(F.round(F.sum(F.col("p") * F.col("tp") / F.col("seen")) / F.nullif(F.sum("p"), F.lit(0)), 6).alias("average_precision"))
+    cum = _cumulative(scored, score, label, False)
+    return cum.agg(F.round(F.sum(F.col("p") * F.col("upto_p") / F.col("upto_n")) / F.nullif(F.sum("p"), F.lit(0)), 6).alias("average_precision"))
 
 
 def risk_coverage(scored: DataFrame, steps: int = 100, score: str = "score", label: str = "label") -> DataFrame:
