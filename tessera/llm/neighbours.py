@@ -16,7 +16,7 @@ visits in a region come first in its order of second-half centroids, so a query
 travels once to each region, with their number only.  Entries travel once; a
 region with many queries is cut into parts of at most ``PART``, to each of which
 its entries are copied.  The codebooks come from at most ``sampled`` vectors, and
-only cell counts (at most k * k) and the probes' neighbours reach the driver.
+only cell counts (at most k * k, k at most ``MOST_CENTRES``) and the probes' neighbours reach the driver.
 
 Defined results: rows with a null id, and vectors that are null, of another
 length than most are, or hold a null or a value that isn't finite, are left out.
@@ -42,6 +42,7 @@ RECALL = 0.95
 PROBES = 400
 SAMPLED = 20_000
 PART = 20_000
+MOST_CENTRES = 4096
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -147,7 +148,7 @@ def neighbours(vectors: DataFrame, top: int = TOP, recall: float = RECALL, k: in
         return spark.createDataFrame([], schema)
     total, width = sizes[0]
     clean = clean.where(F.size("v") == width)
-    k = k or max(8, int(np.ceil(np.sqrt(total / 12))))
+    k = k or min(MOST_CENTRES, max(8, int(np.ceil(np.sqrt(total / 12)))))
     half = max(width // 2, 1)
     drawn = clean.orderBy(F.xxhash64("id"), "id").limit(max(sampled, 8 * k)).collect()
     sample, sample_ids = np.array([r["v"] for r in drawn]), np.array([r["id"] for r in drawn], np.int64)
