@@ -35,6 +35,7 @@ LEAST = 5
 COVERAGE = 0.5
 CONSISTENCY = 0.8
 MOST_SENT = 1_000_000
+MOST_GONE = 4_000_000
 
 UNITS = """kg g mg lb lbs oz km m cm mm mi mile miles ft foot feet inch inches yard yards l ml liter liters litre litres
 gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years
@@ -189,4 +190,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
 def remove(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """The documents that are not contaminated; columns as they were."""
     bad = scratch.table(contaminated(docs, benchmark, **parameters).select(F.col("doc_id").alias("__gone")).distinct())
+    # up to MOST_GONE ids go to the texts; with more, both meet in a shuffle
+    bad = F.broadcast(bad) if bad.count() <= MOST_GONE else bad
     return docs.join(bad, docs["doc_id"] == F.col("__gone"), "left_anti")
