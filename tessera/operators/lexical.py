@@ -19,6 +19,7 @@ from tessera import store
 from tessera.functions import text as T
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+MOST_SENT = 1_000_000
 
 
 @dataclass
@@ -43,7 +44,13 @@ class Index:
 
 
 def tokenised(corpus: DataFrame, pos: str = "pos", text: str = "text") -> DataFrame:
-    return corpus.select(F.col(pos).alias("pos"), T.tokens(text).alias("tokens"))
+    """Tokens of each chunk.  A table in fewer pieces than half the cores (one
+    row group, say) is spread over them first; larger ones are never moved."""
+    rows = corpus.select(F.col(pos).alias("pos"), F.col(text).alias("text"))
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    if 2 * rows.rdd.getNumPartitions() <= cores:
+        rows = rows.repartition(cores)
+    return rows.select("pos", T.tokens("text").alias("tokens"))
 
 
 def term_statistics(tokenised_: DataFrame, epsilon: float = EPSILON) -> tuple[DataFrame, DataFrame]:
@@ -84,11 +91,17 @@ def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text")
 
 
 def score(index: Index, asked: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, pos, score) of every posting that a query meets."""
-    weighted = asked.join(index.terms.select("term", "idf"), "term")
+    """(query_id, pos, score) of every posting that a query meets.
+
+    Postings are placed by chunk.  Up to ``MOST_SENT`` query terms are sent to
+    them, so that what the join multiplies is summed where it arises; a larger
+    batch meets the postings in a shuffle by term.
+    """
+    weighted = store.written(asked.join(index.terms.select("term", "idf"), "term"))
+    weighted = F.broadcast(weighted) if weighted.count() <= MOST_SENT else weighted
     long = F.lit(1 - b) + b * F.col("dl") / F.col("avgdl")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * long)
-    met = index.postings.join(weighted, "term").crossJoin(index.totals.select("avgdl"))
+    met = index.postings.repartition("pos").join(weighted, "term").crossJoin(index.totals.select("avgdl"))
     return met.groupBy("query_id", "pos").agg(F.round(F.sum(part), 6).alias("score"))
 
 
