@@ -1,19 +1,23 @@
 """Unigram token counts by a Viterbi search that keeps only score and count.
 
-Texts are cut before every blank as SentencePiece-style tokenizers do (a blank
-becomes U+2581 and a text starts with one).  An Aho-Corasick automaton
-enumerates the vocabulary's matches in the distinct words of a slice of texts,
-and dynamic programming goes over all those words at once, position by position.
+A blank becomes U+2581 and a text starts with one, as SentencePiece-style
+tokenizers do it.  Texts are cut before those blanks that no piece crosses: a
+piece with a blank inside keeps the blank with what stands before it.  An
+Aho-Corasick automaton enumerates the vocabulary's matches in the distinct words
+of a slice of texts, and dynamic programming goes over all those words at once,
+position by position.
 It carries for each position the best score and the number of pieces on the way
 there, never the pieces.
 
 Rules as in the public Unigram implementation: scores are added as 64-bit floats
 from left to right; of equal scores the piece that starts first (the longest)
 wins; a character that is no piece of its own may be unknown at the lowest score
-less 10; neighbouring unknowns count as one piece.
+less 10; with byte fallback an unknown character counts as its UTF-8 bytes,
+without it neighbouring unknowns count as one piece.
 
 The vocabulary is read from a SentencePiece model file on the driver and sent
-along, so only the driver needs the file.  Control and byte pieces are left out.
+along, so only the driver needs the file.  Control pieces are
+left out, and byte pieces match no text.
 
 Defined results: a null or empty text has 0 tokens; each input row gives one
 output row; a null ``doc_id`` stays null; an empty table gives an empty result.
@@ -44,22 +48,25 @@ class Vocabulary:
 
     pieces: list[str]
     scores: list[float]
+    byte_fallback: bool = False
     _built: tuple | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return {"pieces": self.pieces, "scores": self.scores, "_built": None}
+        return {"pieces": self.pieces, "scores": self.scores, "byte_fallback": self.byte_fallback, "_built": None}
 
     def built(self) -> tuple:
-        """(automaton, lengths, scores, cache keys, cache counts)."""
+        """(automaton, lengths, scores, cache keys, cache counts, characters after
+        which a blank may lie inside a piece)."""
         if self._built is None:
             auto = ahocorasick.Automaton()
             for i, p in enumerate(self.pieces):
-                if p and BLANK not in p[1:]:  # others never lie within a word
+                if p:
                     auto.add_word(p, i)
             auto.make_automaton()
             lengths = np.fromiter(map(len, self.pieces), np.int64, len(self.pieces))
             cache = np.zeros(1 << _CACHE_BITS, np.uint64), np.zeros(1 << _CACHE_BITS, np.int32)
-            self._built = (auto, lengths, np.asarray(self.scores, np.float64), *cache)
+            inner = {ord(a) for p in self.pieces for a, b in zip(p, p[1:]) if b == BLANK}
+            self._built = (auto, lengths, np.asarray(self.scores, np.float64), *cache, np.array(sorted(inner), np.uint32))
         return self._built
 
 
@@ -68,7 +75,7 @@ def read_vocabulary(path: str = VOCABULARY) -> Vocabulary:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i) or sp.is_unknown(i))]
-    return Vocabulary(["<unk>", *(sp.id_to_piece(i) for i in ids)], [0.0, *(sp.get_score(i) for i in ids)])
+    return Vocabulary(["<unk>", *(sp.id_to_piece(i) for i in ids)], [0.0, *(sp.get_score(i) for i in ids)], any(sp.is_byte(i) for i in range(sp.get_piece_size())))
 
 
 def _matches(words: str, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +85,12 @@ def _matches(words: str, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray
     return flat[0::2] + 1, flat[1::2]
 
 
+def _bytes(text: str) -> np.ndarray:
+    """UTF-8 bytes of each character."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
+
+
 def count_words(words: list[str], vocabulary: Vocabulary) -> np.ndarray:
     """Pieces of each word."""
     _, lengths, scores, *_ = vocabulary.built()
@@ -91,9 +104,12 @@ def count_words(words: list[str], vocabulary: Vocabulary) -> np.ndarray:
         return out
     size = size[short]
     start = np.concatenate(([0], np.cumsum(size)))
-    end, piece = _matches("".join([words[i] for i in short]), vocabulary)
+    text = "".join([words[i] for i in short])
+    end, piece = _matches(text, vocabulary)
     begin = end - lengths[piece]
     word_of = np.repeat(np.arange(len(short)), size)
+    inside = word_of[begin] == word_of[end - 1]  # none across neighbouring words
+    begin, end, piece = begin[inside], end[inside], piece[inside]
     # every word has one slot more than it has characters
     single = np.zeros(start[-1], bool)
     single[begin[end - begin == 1]] = True
@@ -101,10 +117,14 @@ def count_words(words: list[str], vocabulary: Vocabulary) -> np.ndarray:
     begin, end = np.concatenate((begin, lost)), np.concatenate((end, lost + 1))
     gain = np.concatenate((scores[piece], np.full(len(lost), unknown)))
     unk = np.concatenate((piece == 0, np.ones(len(lost), bool)))
+    many = np.ones(len(unk), np.int64)
+    if vocabulary.byte_fallback:
+        many[len(piece) :] = _bytes(text)[lost]
+        unk[:] = False  # nothing merges
     word = word_of[begin]
     local = end - start[word]
     order = np.argsort((local << 52) | (word << 20) | (begin - start[word]))
-    begin, end, gain, unk, word, local = (x[order] for x in (begin, end, gain, unk, word, local))
+    begin, end, gain, unk, many, word, local = (x[order] for x in (begin, end, gain, unk, many, word, local))
     best = np.zeros(start[-1] + len(short))
     count = np.zeros(len(best), np.int64)
     last_unknown = np.zeros(len(best), bool)
@@ -123,7 +143,7 @@ def count_words(words: list[str], vocabulary: Vocabulary) -> np.ndarray:
         at = at[np.concatenate(([True], s[1:] != s[:-1]))]  # the earliest start
         to, back, u = end[a:b][at] + w[at], from_[at], unk[a:b][at]
         best[to] = score[at]
-        count[to] = count[back] + ~(u & last_unknown[back])
+        count[to] = count[back] + many[a:b][at] * ~(u & last_unknown[back])
         last_unknown[to] = u
     out[short] = count[start[1:] + np.arange(len(short))]
     return out
@@ -135,6 +155,7 @@ def _count_one(word: str, vocabulary: Vocabulary, unknown: float) -> int:
     n = len(word)
     best, count, last = [0.0] + [None] * n, [0] * (n + 1), [False] * (n + 1)
     pos, found, single = 0, [], [False] * n
+    width = _bytes(word).tolist() if vocabulary.byte_fallback else None
     end, piece = _matches(word, vocabulary)
     begin = end - lengths[piece]
     for b in begin[end - begin == 1].tolist():
@@ -148,15 +169,15 @@ def _count_one(word: str, vocabulary: Vocabulary, unknown: float) -> int:
             _, b, s, u = found[k]
             score = best[b] + s
             if top is None or score > top:
-                top, chosen = score, (b, u)
+                top, chosen = score, (b, u, 1)
             k += 1
         if not single[pos - 1]:
             score = best[pos - 1] + unknown
             if top is None or score > top:
-                top, chosen = score, (pos - 1, True)
-        b, u = chosen
-        best[pos], last[pos] = top, u
-        count[pos] = count[b] + (not (u and last[b]))
+                top, chosen = score, (pos - 1, True, width[pos - 1] if width else 1)
+        b, u, many = chosen
+        best[pos], last[pos] = top, u and not width
+        count[pos] = count[b] + many * (not (u and last[b]))
     return count[n]
 
 
@@ -170,10 +191,17 @@ def counts(texts: list, vocabulary: Vocabulary) -> np.ndarray:
     if not text:
         return np.zeros(len(texts), np.int64)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    begin = np.flatnonzero(codes == 0x2581)
+    starts = np.zeros(len(codes), bool)
+    length = np.fromiter(map(len, marked), np.int64, len(marked))
+    starts[(np.cumsum(length) - length)[length > 0]] = True
+    cut = codes == 0x2581
+    cut[1:] &= ~np.isin(codes[:-1], vocabulary.built()[5])
+    if BLANK not in vocabulary.pieces:  # an unknown blank merges with its neighbours
+        cut[:] = False
+    begin = np.flatnonzero(starts | cut)
     end = np.concatenate((begin[1:], [len(codes)]))
     h = kernel.span_hashes(codes, begin, end) | np.uint64(1)
-    _, _, _, keys, known = vocabulary.built()
+    _, _, _, keys, known, _ = vocabulary.built()
     slot = (h >> np.uint64(64 - _CACHE_BITS)).astype(np.int64)
     value = known[slot].astype(np.int64)
     miss = np.flatnonzero(keys[slot] != h)
@@ -185,7 +213,7 @@ def counts(texts: list, vocabulary: Vocabulary) -> np.ndarray:
         place = (fresh >> np.uint64(64 - _CACHE_BITS)).astype(np.int64)
         keys[place], known[place] = fresh, got
     total = np.concatenate(([0], np.cumsum(value)))
-    ends = np.cumsum(np.fromiter(map(len, marked), np.int64, len(marked)))
+    ends = np.cumsum(length)
     upto = total[np.searchsorted(begin, ends)]
     return np.diff(np.concatenate(([0], upto)))
 

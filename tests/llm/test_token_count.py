@@ -45,6 +45,43 @@ def test_counts_equal_plain_dynamic_programming(texts):
     assert C.counts(texts, WORDS).tolist() == [plain(t, WORDS) for t in texts]
 
 
+def uncut(text, vocabulary):
+    """Every split of the whole text; unknown characters count as their bytes."""
+    t = (text or "").replace(" ", C.BLANK)
+    if not t:
+        return 0
+    t = t if t[0] == C.BLANK else C.BLANK + t
+    score = dict(zip(vocabulary.pieces[1:], vocabulary.scores[1:]))
+    longest = max(map(len, vocabulary.pieces))
+    low = min(vocabulary.scores) - C._PENALTY
+    best = [(0.0, 0)]
+    for j in range(1, len(t) + 1):
+        ways = [(best[i][0] + score[t[i:j]], -i, best[i][1] + 1) for i in range(max(0, j - longest), j) if t[i:j] in score]
+        if t[j - 1] not in score:
+            ways.append((best[j - 1][0] + low, 1 - j, best[j - 1][1] + len(t[j - 1].encode())))
+        s, _, n = max(ways)
+        best.append((s, n))
+    return best[-1][1]
+
+
+def test_blank_runs_and_unknown_bytes_equal_the_uncut_search():
+    v = C.read_vocabulary()
+    assert v.byte_fallback
+    code = "def f(x):\n    if x:\n        return  [1,   2]\n\n\n" + " " * 37 + "end  "
+    texts = ["a" + " " * 4 + "b", "  ", "", None, " " * 300, code, "a\n\n\nb\t\tc", "smile \U0001f600\U0001f680 \u2603 x", "\U00020000" * 90, code * 30, "  last ", " first"]
+    assert C.counts(texts, v).tolist() == [uncut(t, v) for t in texts]
+    assert C.counts(["a" + " " * 4 + "b"], v)[0] == 3
+
+
+CROSSING = C.Vocabulary(["<unk>", C.BLANK, "a", "b", C.BLANK * 2, "a" + C.BLANK + "b", "b" + C.BLANK, C.BLANK + "a"], [0.0, -2.0, -1.5, -1.5, -2.5, -3.0, -2.0, -2.5], True)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("ab cé", max_size=90), max_size=5))
+def test_pieces_across_blanks_equal_the_uncut_search(texts):
+    assert C.counts(texts, CROSSING).tolist() == [uncut(t, CROSSING) for t in texts]
+
+
 def test_equal_scores_take_the_longest_last_piece():
     v = C.Vocabulary(["<unk>", C.BLANK, "a", "aa", "aaa"], [0.0, -1.0, -1.0, -2.0, -3.0])
     for n in range(1, 12):
