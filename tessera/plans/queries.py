@@ -635,7 +635,7 @@ def abstention_features(spark, d):
 
 @query()
 def gbt_abstention(spark, d):
-    return abstention.cross_validated(_features(spark, d), trees=10)[0]
+    return abstention.cross_validated(_features(spark, d))[0]
 
 
 _LABELLED = "lab AS (SELECT toxic AS label, round((n_chars % 997) / 997.0, 4) AS score FROM documents JOIN labels USING (doc_id))"
