@@ -9,6 +9,12 @@ the placeholders' values must map one to one, as they do in a copy and in a
 question that was only given other parameters.  A document is contaminated by
 an item when the matches that pass cover at least ``coverage`` of its windows.
 
+Windows of the plain tokens, in lower case and with numbers and names as they
+are, are joined besides.  They need no literal minimum and no slots, so copies
+are found however many placeholders they have and in whatever case.  A document
+is contaminated by an item when the windows of either kind cover enough; the
+figures are those of the template windows where these do.
+
 The join is a hash join on 64-bit window hashes.  Where the benchmark has at
 most ``most_sent`` windows their hashes are sent to the scan, which then drops
 document windows that cannot join; a larger benchmark is joined by shuffle.  The
@@ -16,7 +22,8 @@ result is the same.
 
 Defined results: null and empty texts have no windows.  Items of fewer than
 ``window`` tokens are one window of their own; below ``least`` tokens, or with
-fewer placeholder-free tokens than half a window, they match nothing.  Rows with
+fewer placeholder-free tokens than half a window, they match as plain tokens
+only.  An item of a single token matches nothing.  Rows with
 a null id are never reported, and ``remove`` keeps such documents.  Rows that
 share an id count as one document or item.  Empty tables give empty results.
 """
@@ -32,6 +39,7 @@ from tessera.llm import kernel, scratch
 
 WINDOW = 8
 LEAST = 5
+LEAST_PLAIN = 2
 COVERAGE = 0.5
 CONSISTENCY = 0.8
 MOST_SENT = 1_000_000
@@ -55,11 +63,12 @@ def _word_hash(words: list[str]) -> np.ndarray:
     return kernel.span_hashes(t.codes, t.starts[:-1], t.starts[:-1] + t.lens)
 
 
+_PLAIN = np.uint64(0x5C5C5C5C00000004)
 _UNIT_HASHES = np.sort(_word_hash(UNITS))
 
 
-def tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, template code, slot value, is slot) of every template token."""
+def _runs(texts: list) -> tuple:
+    """(texts, lower code points, kinds, starts, ends) of words and numbers."""
     t = kernel.Texts(texts)
     low = np.where(t.codes < 0x3000, _LOWER[np.minimum(t.codes, 0x2FFF)], t.codes)
     kind = np.zeros(len(t.codes), np.int8)
@@ -71,7 +80,18 @@ def tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     edge = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
     end = np.concatenate((edge[1:], [len(kind)]))
     real = kind[edge] > 0
-    s, e = edge[real], end[real]
+    return t, low, kind, edge[real], end[real]
+
+
+def plain_tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash in lower case) of every word and number."""
+    t, low, _, s, e = _runs(texts)
+    return np.searchsorted(t.starts, s, side="right") - 1, kernel.span_hashes(low, s, e)
+
+
+def tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, template code, slot value, is slot) of every template token."""
+    t, low, kind, s, e = _runs(texts)
     doc = np.searchsorted(t.starts, s, side="right") - 1
     stops = ((t.codes == 46) | (t.codes == 33) | (t.codes == 63) | (t.codes == 58) | (t.codes == 59) | (t.codes == 124) | (t.cls == kernel.NEWLINE)) & (kind == 0)
     seen = np.cumsum(stops, dtype=np.int32)
@@ -106,6 +126,12 @@ def windows(doc: np.ndarray, code: np.ndarray, slot: np.ndarray, size: int) -> t
     return at, kernel.span_hashes(code, at, at + size) ^ np.uint64(size)
 
 
+def plain_windows(doc: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of first token, hash) of each window of plain tokens."""
+    at, h = windows(doc, code, np.zeros(len(code), bool), size)
+    return at, h ^ _PLAIN
+
+
 def _rows(ids, doc, value, slot, at, h, size, base) -> pa.RecordBatch:
     """Windows as rows; slots hold the values of a window's placeholders."""
     inside = np.concatenate(([0], np.cumsum(slot)))
@@ -121,8 +147,13 @@ def _rows(ids, doc, value, slot, at, h, size, base) -> pa.RecordBatch:
 _SCHEMA = "id long, hash long, place long, slots array<long>"
 
 
+def _kind(rows: pa.RecordBatch, size: int, plain: bool) -> pa.RecordBatch:
+    rows = rows.append_column("size", pa.array(np.full(rows.num_rows, size, np.int32)))
+    return rows.append_column("plain", pa.array(np.full(rows.num_rows, plain)))
+
+
 def benchmark_windows(benchmark: DataFrame, window: int, least: int) -> DataFrame:
-    """(id, hash, place, slots, size) of the items' windows."""
+    """(id, hash, place, slots, size, plain) of the items' windows."""
 
     def fn(part, texts):
         doc, code, value, slot = tokens(texts)
@@ -134,14 +165,23 @@ def benchmark_windows(benchmark: DataFrame, window: int, least: int) -> DataFram
             right = length[doc[at]] == size if size < window else length[doc[at]] >= size
             if right.any():
                 rows = _rows(part.column(0), doc, value, slot, at[right], h[right], size, base)
-                out.append(rows.append_column("size", pa.array(np.full(rows.num_rows, size, np.int32))))
+                out.append(_kind(rows, size, False))
+        doc, code = plain_tokens(texts)
+        base = kernel.offsets(doc, len(texts))
+        length = np.diff(base)
+        none = np.zeros(len(code), bool)
+        for size in range(min(LEAST_PLAIN, window), window + 1):
+            at, h = plain_windows(doc, code, size)
+            right = length[doc[at]] == size if size < window else length[doc[at]] >= size
+            if right.any():
+                out.append(_kind(_rows(part.column(0), doc, code, none, at[right], h[right], size, base), size, True))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
 
     items = benchmark.selectExpr("cast(item_id as long) id", "text").where("id is not null and text is not null")
-    return items.mapInArrow(kernel.per_slice(fn), _SCHEMA + ", size int")
+    return items.mapInArrow(kernel.per_slice(fn), _SCHEMA + ", size int, plain boolean")
 
 
-def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
+def document_windows(docs: DataFrame, sizes: list[tuple[int, bool]], wanted: np.ndarray | None) -> DataFrame:
     """(id, hash, place, slots) of the documents' windows, or of those wanted."""
     near = None
     if wanted is not None:
@@ -151,16 +191,20 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
     def fn(part, texts):
         doc, code, value, slot = tokens(texts)
         base = kernel.offsets(doc, len(texts))
+        plain_doc, plain_code = plain_tokens(texts)
+        plain_base = kernel.offsets(plain_doc, len(texts))
+        none = np.zeros(len(plain_code), bool)
         out = []
-        for size in sizes:
-            at, h = windows(doc, code, slot, size)
+        for size, plain in sizes:
+            at, h = plain_windows(plain_doc, plain_code, size) if plain else windows(doc, code, slot, size)
             if wanted is not None:
                 keep = near[(h >> np.uint64(44)).astype(np.int64)]
                 at, h = at[keep], h[keep]
                 keep = np.isin(h, wanted)
                 at, h = at[keep], h[keep]
             if len(at):
-                out.append(_rows(part.column(0), doc, value, slot, at, h, size, base))
+                of = (plain_doc, plain_code, none, at, h, size, plain_base) if plain else (doc, value, slot, at, h, size, base)
+                out.append(_rows(part.column(0), *of))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
 
     rows = docs.selectExpr("cast(doc_id as long) id", "text").where("id is not null and text is not null")
@@ -170,21 +214,22 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, coverage: float = COVERAGE, consistency: float = CONSISTENCY, most_sent: int = MOST_SENT) -> DataFrame:
     """(doc_id, item_id, matched, windows, coverage) of contaminated documents."""
     items = scratch.table(benchmark_windows(benchmark, window, least).dropDuplicates(["id", "hash", "place"]))
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
+    sizes = sorted((r["size"], r["plain"]) for r in items.select("size", "plain").distinct().collect())
     hashes = items.select("hash").distinct()
     wanted = None
     if hashes.count() <= most_sent:
         wanted = np.sort(np.array([r["hash"] for r in hashes.collect()], np.int64).astype(np.uint64))
     found = document_windows(docs, sizes, wanted)
-    right = items.select("hash", F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
-    met = found.join(right, "hash").select(F.col("id").alias("doc_id"), "item_id", "hash", (F.col("place") - F.col("item_place")).alias("shift"), F.arrays_zip(F.col("item_slots").alias("p"), F.col("slots").alias("q")).alias("pairs"))
-    runs = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("hash").alias("hashes"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    right = items.select("hash", "plain", F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
+    met = found.join(right, "hash").select(F.col("id").alias("doc_id"), "item_id", "plain", "hash", (F.col("place") - F.col("item_place")).alias("shift"), F.arrays_zip(F.col("item_slots").alias("p"), F.col("slots").alias("q")).alias("pairs"))
+    runs = met.groupBy("doc_id", "item_id", "plain", "shift").agg(F.collect_set("hash").alias("hashes"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     kinds = lambda c: F.size(F.array_distinct(F.transform("pairs", lambda x: x[c])))
     fit = (F.size("pairs") == 0) | (F.least(kinds("p"), kinds("q")) >= consistency * F.size("pairs"))
-    hits = runs.where(fit).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hashes")))).cast("long").alias("matched"))
-    total = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("hash").alias("windows"))
-    out = hits.join(total, "item_id").withColumn("coverage", F.col("matched") / F.col("windows"))
-    return out.where(F.col("coverage") >= coverage).select("doc_id", "item_id", "matched", "windows", "coverage")
+    hits = runs.where(fit).groupBy("doc_id", "item_id", "plain").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hashes")))).cast("long").alias("matched"))
+    total = items.groupBy(F.col("id").alias("item_id"), "plain").agg(F.countDistinct("hash").alias("windows"))
+    out = hits.join(total, ["item_id", "plain"]).withColumn("coverage", F.col("matched") / F.col("windows")).where(F.col("coverage") >= coverage)
+    one = out.groupBy("doc_id", "item_id").agg(F.min_by(F.struct("matched", "windows", "coverage"), "plain").alias("x"))
+    return one.select("doc_id", "item_id", "x.matched", "x.windows", "x.coverage")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:

@@ -38,6 +38,13 @@ def test_join_by_shuffle_gives_the_same(spark, make_docs):
     assert found(spark, docs, items) == found(spark, docs, items, most_sent=0)
 
 
+def test_copies_rich_in_numbers_and_names_and_short_items_are_caught(spark, make_docs):
+    items = [(1, "What is 12 + 7 * 3 - 4 / 2?"), (2, "17 4 96 21 8 33 5 72 10 64"), (3, "Name Anna Berta, Carl Dora; Emil Fritz; Gustav Hans; Ida Jonas"), (4, "Define osmosis briefly."), (5, "Osmosis")]
+    docs = make_docs([(i, f"{CLEAN} {t} {CLEAN}") for i, t in items] + [(9, f"{CLEAN} What is 13 + 7 * 3 - 4 / 2? 17 4 96 {CLEAN}")])
+    assert found(spark, docs, bench(spark, items)) == {(i, i) for i in range(1, 5)}
+    assert found(spark, docs, bench(spark, items), most_sent=0) == {(i, i) for i in range(1, 5)}
+
+
 def test_awkward_rows(spark, awkward):
     items = bench(spark, [(1, None), (2, ""), (3, "too short"), (None, QUESTION), (4, "alpha beta gamma. alpha beta gamma. alpha beta gamma."), (4, "alpha beta gamma. alpha beta gamma. alpha beta gamma.")])
     assert found(spark, awkward, items) == {(4, 4)}
