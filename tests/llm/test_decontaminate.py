@@ -45,6 +45,12 @@ def test_copies_rich_in_numbers_and_names_and_short_items_are_caught(spark, make
     assert found(spark, docs, bench(spark, items), most_sent=0) == {(i, i) for i in range(1, 5)}
 
 
+def test_copies_in_another_case_are_caught(spark, make_docs):
+    german = "Der Bauer verkauft am Morgen seine Kartoffeln auf dem Markt und kauft mit dem Geld neue Werkzeuge im Laden der Stadt."
+    docs = make_docs([(4, QUESTION.upper()), (5, QUESTION.lower()), (6, QUESTION.title()), (7, german.lower()), (8, german.upper()), (3, CLEAN.upper())])
+    assert found(spark, docs, bench(spark, [(9, QUESTION), (10, german)])) == {(4, 9), (5, 9), (6, 9), (7, 10), (8, 10)}
+
+
 def test_awkward_rows(spark, awkward):
     items = bench(spark, [(1, None), (2, ""), (3, "too short"), (None, QUESTION), (4, "alpha beta gamma. alpha beta gamma. alpha beta gamma."), (4, "alpha beta gamma. alpha beta gamma. alpha beta gamma.")])
     assert found(spark, awkward, items) == {(4, 4)}
