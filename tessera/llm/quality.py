@@ -168,10 +168,17 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bi
     return Trees(feature, threshold, leaf, start)
 
 
+def prior(totals: dict[int, int], most: int) -> float:
+    """Log-odds of all labels less those of at most ``most`` of each class."""
+    bad, good = totals[0], totals[1]
+    return float(np.log(good / bad) - np.log(min(good, most) / min(bad, most)))
+
+
 def fit_on(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Trees | None:
     """Trees from at most ``most`` labelled documents of each class, those whose
     ids hash least.  Only their statistics come to the driver.  A label that is
-    null, neither 0 nor 1, or contradicted by another row of its id is ignored."""
+    null, neither 0 nor 1, or contradicted by another row of its id is ignored.
+    The start log-odds get back the class ratio that the bound takes away."""
     one = (
         labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("__y"))
         .where("__id is not null and __y in (0, 1)")
@@ -190,7 +197,11 @@ def fit_on(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Tre
     got = got.drop_duplicates("id").sort_values("id")
     if not len(got):
         return None
-    return fit(np.stack(got["x"].to_list()).astype(np.float32), got["y"].to_numpy())
+    model = fit(np.stack(got["x"].to_list()).astype(np.float32), got["y"].to_numpy())
+    if model is not None:
+        totals = {row["__y"]: row["count"] for row in one.groupBy("__y").count().collect()}
+        model.start += prior(totals, most)
+    return model
 
 
 def scores(texts: list, model: Trees | None) -> np.ndarray:
