@@ -4,7 +4,8 @@ Vectors are cut in two halves and each half is quantised with a codebook of its
 own, so ``k`` centroids a half make k * k cells.  A query visits cells in order
 of the sum of its two centroid distances, which a heap over the two sorted lists
 yields one by one, until they hold enough entries; those are ranked by their
-exact Euclidean distance.  Every vector is a query.
+exact Euclidean distance.  Every vector is an entry; the queries are the vectors
+whose id is divisible by ``every`` (1 makes every vector a query).
 
 How many entries are enough depends on the vectors, so it is measured: a bounded
 number of probes finds its true neighbours in one linear pass, and the number is
@@ -13,16 +14,23 @@ small for vectors with structure and a large part of the table for noise.
 
 Cells that share a first-half centroid form a region.  The cells that a query
 visits in a region come first in its order of second-half centroids, so a query
-travels once to each region, with their number only.  Entries travel once; a
-region with many queries is cut into parts of at most ``PART``, to each of which
-its entries are copied.  The codebooks come from at most ``sampled`` vectors, and
-only cell counts (at most k * k, k at most ``MOST_CENTRES``) and the probes' neighbours reach the driver.
+travels once to each region, with their number only.  Both sides of a region are
+cut into parts of at most ``part`` rows, and each pair of parts is one group, so
+neither a region with a third of the entries nor one that all queries visit
+makes a long task.
+
+The codebooks are fitted on ``sampled`` vectors, those whose ids hash least; all
+vectors are indexed.  A half has ``MOST_CENTRES`` centroids at most, so that the
+driver holds a megabyte-sized table of cell counts, whatever the input; only
+those counts, the sample and the probes' neighbours reach it.
 
 Defined results: rows with a null id, and vectors that are null, of another
-length than most are, or hold a null or a value that isn't finite, are left out.
-Rows that share an id count once, with the least vector.  Equal distances rank
-by id.  A vector is not its own neighbour; one with fewer than ``top`` others has
-them all.  An empty table gives an empty result.
+length than most are (of equally common lengths the longest counts), or hold a
+null or a value that isn't finite, are left out.  Rows that share an id count
+once, with the least vector.  Equal distances rank by id.  A vector is not its
+own neighbour; one with fewer than ``top`` others has them all.  A table without
+a sound vector or without a query gives an empty result.  Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -39,10 +47,12 @@ from tessera.llm import scratch
 
 TOP = 10
 RECALL = 0.95
+EVERY = 50
 PROBES = 400
 SAMPLED = 20_000
 PART = 20_000
-MOST_CENTRES = 4096
+MOST_CENTRES = 1024
+_ROWS = 2048
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -69,7 +79,7 @@ def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
         centre[i] = x[min(int(np.searchsorted(np.cumsum(near), rng.random() * near.sum())), len(x) - 1)]
         near = np.minimum(near, ((x - centre[i]) ** 2).sum(1))
     for _ in range(rounds):
-        own = squared(x, centre).argmin(1)
+        own = np.concatenate([squared(x[i : i + _ROWS], centre).argmin(1) for i in range(0, len(x), _ROWS)])
         for j in range(x.shape[1]):
             total = np.bincount(own, x[:, j], minlength=k)
             n = np.bincount(own, minlength=k)
@@ -101,6 +111,11 @@ def traverse(d1: np.ndarray, d2: np.ndarray, counts: list[list[int]], enough: in
     return out
 
 
+def _small(fn):
+    """fn over batches of few rows, so that rows times centroids fit."""
+    return lambda batches: fn(b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS))
+
+
 def _matrix(column) -> np.ndarray:
     n = len(column)
     flat = column.flatten() if isinstance(column, (pa.ListArray, pa.LargeListArray)) else column.combine_chunks().flatten()
@@ -136,22 +151,28 @@ def nearest(x: np.ndarray, entries: np.ndarray, ids: np.ndarray, own: np.ndarray
     return row, at[row, col], exact[row, col]
 
 
-def neighbours(vectors: DataFrame, top: int = TOP, recall: float = RECALL, k: int | None = None, probes: int = PROBES, sampled: int = SAMPLED, part: int = PART) -> DataFrame:
-    """(vec_id, neighbour_id, rank, distance) of every vector's nearest ones."""
+def seen_before(grid: np.ndarray, counts: np.ndarray, cells: list[tuple[int, int]]) -> list[int]:
+    """Entries in the cells that are nearer than each of the given ones."""
+    return [int(counts[grid < grid[c]].sum()) for c in cells]
+
+
+def neighbours(vectors: DataFrame, top: int = TOP, recall: float = RECALL, k: int | None = None, every: int = EVERY, probes: int = PROBES, sampled: int = SAMPLED, part: int = PART) -> DataFrame:
+    """(vec_id, neighbour_id, rank, distance) of every query's nearest vectors."""
     spark = vectors.sparkSession
     schema = "vec_id long, neighbour_id long, rank int, distance double"
-    clean = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("id is not null and v is not null")
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    clean = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(f"array<{kind}>").alias("v")).where("id is not null and v is not null")
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     clean = scratch.table(clean.where(sound).groupBy("id").agg(F.min("v").alias("v")))
     sizes = sorted(((r["count"], r["n"]) for r in clean.groupBy(F.size("v").alias("n")).count().collect()), reverse=True)
     if not sizes or sizes[0][1] == 0:
         return spark.createDataFrame([], schema)
     total, width = sizes[0]
-    clean = clean.where(F.size("v") == width)
-    k = k or min(MOST_CENTRES, max(8, int(np.ceil(np.sqrt(total / 12)))))
+    whole, clean = clean, clean.where(F.size("v") == width)
+    k = min(k or max(8, int(np.ceil(np.sqrt(total / 12)))), MOST_CENTRES)
     half = max(width // 2, 1)
-    drawn = clean.orderBy(F.xxhash64("id"), "id").limit(max(sampled, 8 * k)).collect()
-    sample, sample_ids = np.array([r["v"] for r in drawn]), np.array([r["id"] for r in drawn], np.int64)
+    drawn = clean.orderBy(F.xxhash64("id"), "id").limit(sampled).toArrow()
+    sample, sample_ids = _matrix(drawn["v"]), drawn["id"].to_numpy()
     books = codebook(sample[:, :half], k), codebook(sample[:, half:], k) if width > half else np.zeros((1, 0))
 
     def assign(batches):
@@ -160,10 +181,10 @@ def neighbours(vectors: DataFrame, top: int = TOP, recall: float = RECALL, k: in
             first, second = to_centres(x[:, :half], books[0]).argmin(1), to_centres(x[:, half:], books[1]).argmin(1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(first.astype(np.int32)), pa.array(second.astype(np.int32)), b.column(1)], names=["id", "region", "cell", "v"])
 
-    entries = scratch.table(clean.mapInArrow(assign, "id long, region int, cell int, v array<double>"))
+    entries = scratch.table(clean.mapInArrow(_small(assign), f"id long, region int, cell int, v array<{kind}>"))
     counts = np.zeros((len(books[0]), len(books[1])), np.int64)
-    for r in entries.groupBy("region", "cell").count().collect():
-        counts[r["region"], r["cell"]] = r["count"]
+    filled = entries.groupBy("region", "cell").count().toArrow()  # at most MOST_CENTRES ** 2 rows
+    counts[filled["region"].to_numpy(), filled["cell"].to_numpy()] = filled["count"].to_numpy()
 
     # how many entries the probes would have had to see
     probe, probe_ids = sample[:probes], sample_ids[:probes]
@@ -174,19 +195,13 @@ def neighbours(vectors: DataFrame, top: int = TOP, recall: float = RECALL, k: in
             row, at, d = nearest(probe, x, ids, probe_ids, None, top)
             yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(d), b.column(1).take(pa.array(at)), b.column(2).take(pa.array(at))], names=["probe", "d", "region", "cell"])
 
-    found = entries.mapInArrow(truth, "probe int, d double, region int, cell int")
+    found = entries.mapInArrow(_small(truth), "probe int, d double, region int, cell int")
     found = found.withColumn("n", F.row_number().over(Window.partitionBy("probe").orderBy("d", "region", "cell"))).where(F.col("n") <= top).collect()
     grids = [to_centres(probe[:, :half], books[0]), to_centres(probe[:, half:], books[1])]
-    before = []
     by: dict[int, list] = {}
     for r in found:
         by.setdefault(r["probe"], []).append((r["region"], r["cell"]))
-    for i, cells in by.items():
-        s = grids[0][i][:, None] + grids[1][i][None]
-        order = np.argsort(s, axis=None, kind="stable")
-        seen = np.empty(s.size, np.int64)
-        seen[order] = np.cumsum(counts.ravel()[order]) - counts.ravel()[order]
-        before += [int(seen.reshape(s.shape)[c]) for c in cells]
+    before = [n for i, cells in by.items() for n in seen_before(grids[0][i][:, None] + grids[1][i][None], counts, cells)]
     enough = int(np.quantile(before, recall, method="higher")) + 1 if before else 1
     enough = max(enough, 4 * top)
 
@@ -202,13 +217,21 @@ def neighbours(vectors: DataFrame, top: int = TOP, recall: float = RECALL, k: in
                 regions += own
                 prefix += own.values()
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(regions, pa.int32()), b.column(0).take(at), pa.array(prefix, pa.int32())], names=["region", "id", "cells"])
-
-    visits = scratch.table(clean.mapInArrow(visit, "region int, id long, cells int"))
-    parts = visits.groupBy("region").count().select("region", F.ceil(F.col("count") / part).cast("int").alias("parts"))
-    asked = visits.join(F.broadcast(parts), "region").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("region", "part", "id", "cells")
-    asked = asked.join(clean, "id").select("region", "part", "id", "cells", "v")
-    held = entries.join(F.broadcast(parts), "region").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("region", "part", "id", "cell", "v")
+            yield pa.RecordBatch.from_arrays([pa.array(regions, pa.int32()), b.column(0).take(at), pa.array(prefix, pa.int32()), b.column(1).take(at)], names=["region", "id", "cells", "v"])
+
+    asking = clean.where(F.pmod("id", F.lit(every)) == 0)
+    visits = scratch.table(asking.mapInArrow(_small(visit), f"region int, id long, cells int, v array<{kind}>"))
+    held = {int(i): int(n) for i, n in enumerate(counts.sum(1))}
+    asked = visits.groupBy("region").count().collect()  # at most MOST_CENTRES rows
+    sides = [(r["region"], -(-r["count"] // part), -(-held[r["region"]] // part)) for r in asked if held[r["region"]]]
+    if not sides:
+        scratch.drop(whole, entries, visits)
+        return spark.createDataFrame([], schema)
+    parts = F.broadcast(spark.createDataFrame(sides, "region int, q int, e int"))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own_of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    left = visits.join(parts, "region").withColumn("qp", own_of("q")).select("region", "qp", all_of("e").alias("ep"), "id", "cells", "v")
+    right = entries.join(parts, "region").withColumn("ep", own_of("e")).select("region", all_of("q").alias("qp"), "ep", "id", "cell", "v")
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -226,6 +249,9 @@ def neighbours(vectors: DataFrame, top: int = TOP, recall: float = RECALL, k: in
                 out.append(pa.table({"vec_id": own[at + row], "neighbour_id": ids[col], "distance": d}))
         return pa.concat_tables(out) if out else pa.table({"vec_id": pa.array([], pa.int64()), "neighbour_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
 
-    near = asked.groupBy("region", "part").cogroup(held.groupBy("region", "part")).applyInArrow(rank, "vec_id long, neighbour_id long, distance double")
+    keys = ["region", "qp", "ep"]
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank, "vec_id long, neighbour_id long, distance double")
     best = Window.partitionBy("vec_id").orderBy("distance", "neighbour_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("vec_id", "neighbour_id", "rank", "distance")
+    near = scratch.table(near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("vec_id", "neighbour_id", "rank", "distance"))
+    scratch.drop(whole, entries, visits)
+    return near
