@@ -1,26 +1,30 @@
 """Unigram token counts by a Viterbi search that keeps only score and count.
 
-A blank becomes U+2581 and a text starts with one, as SentencePiece-style
-tokenizers do it.  Texts are cut before those blanks that no piece crosses: a
-piece with a blank inside keeps the blank with what stands before it.  An
-Aho-Corasick automaton enumerates the vocabulary's matches in the distinct words
-of a slice of texts, and dynamic programming goes over all those words at once,
-position by position.
+Normaliser, as the vocabulary file's own: code points as they are, each blank
+becomes U+2581, and one U+2581 is put before every text that isn't empty.  Texts
+are cut before those blanks that no piece crosses: a piece with a blank inside
+keeps the blank with what stands before it.  An Aho-Corasick automaton enumerates
+the vocabulary's matches in the distinct words of a slice of texts, and dynamic
+programming goes over all those words at once, position by position.
 It carries for each position the best score and the number of pieces on the way
 there, never the pieces.
 
-Rules as in the public Unigram implementation: scores are added as 64-bit floats
-from left to right; of equal scores the piece that starts first (the longest)
-wins; a character that is no piece of its own may be unknown at the lowest score
-less 10; with byte fallback an unknown character counts as its UTF-8 bytes,
-without it neighbouring unknowns count as one piece.
+Rules as in the public Unigram encoder of the ``tokenizers`` library: scores are
+added as 64-bit floats from left to right; of equal scores the piece that starts
+first (the longest) wins; a character that is no piece of its own may be unknown
+at the lowest score less 10; with byte fallback an unknown character counts as
+its UTF-8 bytes, without it neighbouring unknowns count as one piece.  Sums begin
+anew at each cut, which changes nothing where sums are exact, as they are with
+the whole-number scores of ``VOCABULARY``.
 
 The vocabulary is read from a SentencePiece model file on the driver and sent
 along, so only the driver needs the file.  Control pieces are
 left out, and byte pieces match no text.
 
-Defined results: a null or empty text has 0 tokens; each input row gives one
-output row; a null ``doc_id`` stays null; an empty table gives an empty result.
+A text of any length is counted whole, in blocks that end at cuts; a word of any
+length needs memory for its longest piece only.  Defined results: a null or empty
+text has 0 tokens; each input row gives one output row; a null ``doc_id`` stays
+null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +42,7 @@ from tessera.llm import kernel
 BLANK = "▁"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 _LONG = 64
+_BLOCK = 1 << 20
 _CACHE_BITS = 20
 _PENALTY = 10.0
 
@@ -150,46 +155,60 @@ def count_words(words: list[str], vocabulary: Vocabulary) -> np.ndarray:
 
 
 def _count_one(word: str, vocabulary: Vocabulary, unknown: float) -> int:
-    """The same for one long word, in time linear in its matches."""
-    _, lengths, scores, *_ = vocabulary.built()
-    n = len(word)
-    best, count, last = [0.0] + [None] * n, [0] * (n + 1), [False] * (n + 1)
-    pos, found, single = 0, [], [False] * n
-    width = _bytes(word).tolist() if vocabulary.byte_fallback else None
-    end, piece = _matches(word, vocabulary)
-    begin = end - lengths[piece]
-    for b in begin[end - begin == 1].tolist():
-        single[b] = True
-    order = np.lexsort((begin, end))
-    found = list(zip(end[order].tolist(), begin[order].tolist(), scores[piece[order]].tolist(), (piece[order] == 0).tolist()))
-    k = 0
-    for pos in range(1, n + 1):
-        top, chosen = None, None
-        while k < len(found) and found[k][0] == pos:
-            _, b, s, u = found[k]
-            score = best[b] + s
+    """The same for one long word, in a ring of as many places as the longest piece has."""
+    auto, lengths, scores, *_ = vocabulary.built()
+    ring = int(lengths.max()) + 1
+    best, count, last = [0.0] * ring, [0] * ring, [False] * ring
+    matches = auto.iter(word)  # by end, the longest first
+    end, piece = next(matches, (len(word), 0))
+    for pos, character in enumerate(word):
+        top, single = None, False
+        while end == pos:
+            length = len(vocabulary.pieces[piece])
+            back = (pos + 1 - length) % ring
+            score = best[back] + vocabulary.scores[piece]
             if top is None or score > top:
-                top, chosen = score, (b, u, 1)
-            k += 1
-        if not single[pos - 1]:
-            score = best[pos - 1] + unknown
+                top, n, lost = score, count[back] + (not (piece == 0 and last[back])), piece == 0
+            single |= length == 1
+            end, piece = next(matches, (len(word), 0))
+        if not single:
+            back = pos % ring
+            score = best[back] + unknown
             if top is None or score > top:
-                top, chosen = score, (pos - 1, True, width[pos - 1] if width else 1)
-        b, u, many = chosen
-        best[pos], last[pos] = top, u and not width
-        count[pos] = count[b] + many * (not (u and last[b]))
-    return count[n]
+                many = len(character.encode("utf-8", "surrogatepass")) if vocabulary.byte_fallback else int(not last[back])
+                top, n, lost = score, count[back] + many, not vocabulary.byte_fallback
+        here = (pos + 1) % ring
+        best[here], count[here], last[here] = top, n, lost
+    return count[len(word) % ring]
+
+
+def _blocks(text: str, vocabulary: Vocabulary) -> list[str]:
+    """The text in blocks of about ``_BLOCK`` characters that begin at cuts."""
+    inner = set(map(chr, vocabulary.built()[5].tolist()))
+    out, begin = [], 0
+    while len(text) - begin > _BLOCK and BLANK in vocabulary.pieces:
+        at = text.find(BLANK, begin + _BLOCK)
+        while at > 0 and text[at - 1] in inner:
+            at = text.find(BLANK, at + 1)
+        if at < 0:
+            break
+        out.append(text[begin:at])
+        begin = at
+    return [*out, text[begin:]]
 
 
 def counts(texts: list, vocabulary: Vocabulary) -> np.ndarray:
     """Tokens of each text."""
-    marked = []
-    for t in texts:
-        t = (t or "").replace(" ", BLANK)
-        marked.append(t if not t or t[0] == BLANK else BLANK + t)
+    marked = [BLANK + t.replace(" ", BLANK) if t else "" for t in texts]
+    if any(len(t) > _BLOCK for t in marked):
+        return np.array([sum(int(_counts([b], vocabulary)[0]) for b in _blocks(t, vocabulary)) for t in marked], np.int64)
+    return _counts(marked, vocabulary)
+
+
+def _counts(marked: list[str], vocabulary: Vocabulary) -> np.ndarray:
     text = "".join(marked)
     if not text:
-        return np.zeros(len(texts), np.int64)
+        return np.zeros(len(marked), np.int64)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.zeros(len(codes), bool)
     length = np.fromiter(map(len, marked), np.int64, len(marked))

@@ -16,7 +16,7 @@ def plain(text, vocabulary):
     t = (text or "").replace(" ", C.BLANK)
     if not t:
         return 0
-    t = t if t[0] == C.BLANK else C.BLANK + t
+    t = C.BLANK + t
     score = {p: s for p, s in zip(vocabulary.pieces[1:], vocabulary.scores[1:])}
     low = min(vocabulary.scores) - C._PENALTY
     total, begin = 0, 0
@@ -50,7 +50,7 @@ def uncut(text, vocabulary):
     t = (text or "").replace(" ", C.BLANK)
     if not t:
         return 0
-    t = t if t[0] == C.BLANK else C.BLANK + t
+    t = C.BLANK + t
     score = dict(zip(vocabulary.pieces[1:], vocabulary.scores[1:]))
     longest = max(map(len, vocabulary.pieces))
     low = min(vocabulary.scores) - C._PENALTY
@@ -104,30 +104,49 @@ def test_awkward_rows(spark, awkward, make_docs):
     assert C.token_counts(make_docs([]), v).count() == 0
 
 
-def test_query_against_plain_counts(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
-    got = {r["doc_id"]: r["n_tokens"] for r in queries.op10_token_counts(spark, sf).collect()}
-    assert len(got) == len(docs)
+def encoder(vocabulary):
+    """The library's own Unigram encoder over the same pieces; nothing is trained."""
+    from tokenizers import Tokenizer, models
+
+    pieces = list(zip(vocabulary.pieces, vocabulary.scores))
+    if vocabulary.byte_fallback:
+        pieces += [(f"<0x{i:02X}>", 0.0) for i in range(256)]
+    return Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=vocabulary.byte_fallback))
+
+
+def encoded(texts, tokenizer):
+    marked = [C.BLANK + t.replace(" ", C.BLANK) if t else "" for t in texts]
+    return [len(e.ids) for e in tokenizer.encode_batch(marked, add_special_tokens=False)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab cé\n▁😀", max_size=90), max_size=5))
+def test_counts_equal_the_library_encoder(texts):
+    for v in (WORDS, CROSSING):
+        assert C.counts(texts, v).tolist() == encoded(texts, encoder(v))
+
+
+def test_blank_runs_equal_the_library_encoder_and_the_files_normaliser():
+    import sentencepiece
+
     v = C.read_vocabulary()
-    score = dict(zip(v.pieces[1:], v.scores[1:]))
-    longest = max(map(len, v.pieces))
-    low = min(v.scores) - C._PENALTY
-    for i, t in zip(docs.doc_id, docs.text):
-        if len(t) > 800:
-            continue
-        t = t.replace(" ", C.BLANK)
-        t = t if not t or t[0] == C.BLANK else C.BLANK + t
-        best = [(0.0, 0, False)]
-        for j in range(1, len(t) + 1):
-            found = None
-            for a in range(max(0, j - longest), j):
-                p = t[a:j]
-                if C.BLANK in p[1:]:
-                    continue
-                s, u = (best[a][0] + score[p], False) if p in score else (best[a][0] + low, True)
-                if u and len(p) > 1:
-                    continue
-                if found is None or s > found[0] + 1e-9:
-                    found = (s, best[a][1] + (not (u and best[a][2])), u)
-            best.append(found)
-        assert abs(got[i] - best[-1][1]) <= 0.01 * best[-1][1]  # sums of other order may tie otherwise
+    texts = ["a    b", "def f():\n        return 1", " " * 64, " first", "  two", "a ", "x\t\ty", "smile 😀 ☃", "ﬁ Ⅳ ①", "", "\u00a0\u3000"]
+    assert C.counts(texts, v).tolist() == encoded(texts, encoder(v))
+    file = sentencepiece.SentencePieceProcessor(model_file=C.VOCABULARY)
+    assert [file.normalize(t) for t in texts] == [C.BLANK + t.replace(" ", C.BLANK) if t else "" for t in texts]
+
+
+def test_blocks_of_a_long_text(monkeypatch):
+    v = C.read_vocabulary()
+    text = ("some words,   and\n      a run of blanks  " * 40) + "x" * 500 + " end"
+    whole = C.counts([text, "a b"], v).tolist()
+    assert whole == encoded([text, "a b"], encoder(v))
+    for block in (1, 7, 100):
+        monkeypatch.setattr(C, "_BLOCK", block)
+        assert C.counts([text, "a b"], v).tolist() == whole
+
+
+def test_query_equals_the_library_encoder_on_whole_texts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
+    got = sorted((r["doc_id"], r["n_tokens"]) for r in queries.op10_token_counts(spark, sf).collect())
+    assert got == sorted(zip(docs.doc_id.tolist(), encoded(docs.text.tolist(), encoder(C.read_vocabulary()))))
