@@ -1,6 +1,7 @@
 """Best-fit packing of documents into bins of a fixed number of tokens.
 
-Documents are cut into pieces of at most ``capacity`` tokens.  A piece above one
+Tokens are those of ``token_count`` (unigram pieces of a public vocabulary), so a
+bin fits a context of as many.  Documents are cut into pieces of at most ``capacity`` tokens.  A piece above one
 third of the capacity is large: a bin takes at most two of those, matched
 greedily, the longest first, each with the longest other that still fits.  The
 smaller pieces then go, longest first, into the tightest gap that takes them,
@@ -13,8 +14,9 @@ pieces of one length from one ordinal to another go, so many to a bin, into
 consecutive bins.  Ordinals are given in parallel: rows are numbered within
 (length, hash bucket) and the buckets' counts are added up.
 
-Defined results: tokens are runs of non-blank characters.  A null, empty or
-blank text has no tokens; it gives one row with ``n_tokens`` 0 and a null bin.
+``start`` and ``n_tokens`` of a piece are in tokens of its document.  Defined
+results: a null or empty text has no tokens; it gives one row with ``n_tokens`` 0
+and a null bin.
 Repeated rows and equal lengths are numbered by (doc_id, piece), nulls first,
 and each row is packed.  An empty table gives an empty result.
 """
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm import scratch
+from tessera.llm import scratch, token_count
 
 CAPACITY = 2048
 _BUCKETS = 1024
@@ -109,10 +111,9 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return runs
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: token_count.Vocabulary | None = None) -> DataFrame:
     """(doc_id, piece, start, n_tokens, bin_id, bin_offset) of every piece."""
-    count = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"\S+")), F.lit(0)).cast("long")
-    lengths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), count.alias("total"))
+    lengths = token_count.token_counts(docs, vocabulary).withColumnRenamed("n_tokens", "total")
     last = F.greatest(F.ceil(F.col("total") / capacity) - 1, F.lit(0))
     pieces = lengths.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
     start = F.col("piece") * capacity
