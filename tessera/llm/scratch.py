@@ -1,60 +1,6 @@
-"""Tables written to the cluster's shared folder to cut lineage.
-
-The folder is the one the session names in ``spark.checkpoint.dir``; only where
-that is unset (tests, a laptop) is a folder of our own chosen.  A table is
-ordinary Parquet: it survives lost executors, is pruned by column when read,
-and is removed when the Python process ends or when ``drop`` is called.
-"""
+"""Tables written to the cluster's shared folder to cut lineage; see ``tessera.store``."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_made: dict[str, SparkSession] = {}
-
-
-def folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def table(df: DataFrame) -> DataFrame:
-    """Write df once and return the DataFrame that reads it back."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/tessera/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made[path] = spark
-    back = spark.read.schema(df.schema).parquet(path)
-    back._tessera_path = path
-    return back
-
-
-def drop(*tables: DataFrame) -> None:
-    """Remove written tables that no later plan reads."""
-    for df in tables:
-        _delete(getattr(df, "_tessera_path", None))
-
-
-def _delete(path: str | None) -> None:
-    spark = _made.pop(path, None) if path else None
-    if spark is None:
-        return
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _delete_all() -> None:
-    for path in list(_made):
-        try:
-            _delete(path)
-        except Exception:  # noqa: BLE001 - the session has ended already
-            _made.clear()
+from tessera.store import drop, sent, size  # noqa: F401
+from tessera.store import written as table  # noqa: F401
