@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[str], list[int], dict[int, int]]:
-    """(texts, their 0/1 labels, labels of each kind in the whole table).
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[DataFrame, dict[int, int]]:
+    """((__id, __text, __y) of the sample, labels of each kind in the whole table).
 
     Of each class the ``most`` ids whose hash is least are taken, so the sample
     is bounded, and the same in every run.  A label that is null, neither 0 nor
     1, or contradicted by another row of its id is ignored, as is one whose
-    document is absent or has a null text.
+    document is absent or has a null text.  Of documents that share an id the
+    least text counts.
     """
     one = (
         labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(label).cast("int").alias("__y"))
@@ -23,6 +24,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[l
     order = [F.xxhash64(F.col("__id")), F.col("__id")]
     chosen = one.where("__y = 0").orderBy(*order).limit(most).union(one.where("__y = 1").orderBy(*order).limit(most)).select("__id", "__y")
     # at most 2 * most ids: small enough to send everywhere, whatever the input
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text")).join(F.broadcast(chosen), "__id").where("__text is not null").toPandas()
-    rows = rows.drop_duplicates("__id").sort_values("__id")
-    return rows["__text"].tolist(), rows["__y"].astype(int).tolist(), totals
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text")).join(F.broadcast(chosen), "__id").where("__text is not null")
+    return rows.groupBy("__id").agg(F.min("__text").alias("__text"), F.min("__y").alias("__y")), totals

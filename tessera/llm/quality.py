@@ -19,9 +19,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tessera.llm import kernel
+from tessera.llm import kernel, labelled
 
 MOST_LABELLED = 10_000
 DEPTH = 4
@@ -175,31 +174,20 @@ def prior(totals: dict[int, int], most: int) -> float:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Trees | None:
-    """Trees from at most ``most`` labelled documents of each class, those whose
-    ids hash least.  Only their statistics come to the driver.  A label that is
-    null, neither 0 nor 1, or contradicted by another row of its id is ignored.
-    The start log-odds get back the class ratio that the bound takes away."""
-    one = (
-        labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("__y"))
-        .where("__id is not null and __y in (0, 1)")
-        .groupBy("__id").agg(F.min("__y").alias("__y"), F.max("__y").alias("__z")).where("__y = __z")
-    )
-    order = [F.xxhash64(F.col("__id")), F.col("__id")]
-    chosen = one.where("__y = 0").orderBy(*order).limit(most).union(one.where("__y = 1").orderBy(*order).limit(most)).select("__id", "__y")
-    # at most 2 * most ids: small enough to send everywhere, whatever the input
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text")).join(F.broadcast(chosen), "__id").where("__text is not null")
+    """Trees from a labelled sample of at most ``most`` documents of each class, of
+    which only the statistics come to the driver.  The start log-odds get back the
+    class ratio that the bound takes away."""
+    rows, totals = labelled.sample(docs, labels, "quality", most)
 
     def fn(part, texts):
         x = statistics(texts)
         return pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(x), pa.list_(pa.float32()))], names=["id", "y", "x"])
 
-    got = rows.select("__id", "__text", "__y").mapInArrow(kernel.per_slice(fn, "__text"), "id long, y int, x array<float>").toPandas()
-    got = got.drop_duplicates("id").sort_values("id")
+    got = rows.mapInArrow(kernel.per_slice(fn, "__text"), "id long, y int, x array<float>").toPandas().sort_values("id")
     if not len(got):
         return None
     model = fit(np.stack(got["x"].to_list()).astype(np.float32), got["y"].to_numpy())
     if model is not None:
-        totals = {row["__y"]: row["count"] for row in one.groupBy("__y").count().collect()}
         model.start += prior(totals, most)
     return model
 

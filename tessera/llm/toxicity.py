@@ -3,8 +3,9 @@
 A document is the set of its hashed character n-grams within words (a word's
 edges count as a character).  Each is scaled by its naive Bayes log-count ratio
 between toxic and clean labelled documents, and logistic regression is fitted
-on the scaled features.  N-grams whose ratio is within noise are left out, so
-the model is a table of 2**BITS weights, few of which are not zero.
+on the scaled features.  N-grams whose ratio is within noise, four standard errors,
+are left out at every size of the sample, so the model is a table of 2**BITS
+weights, few of which are not zero; where none is beyond noise nothing is toxic.
 
 Fitting uses at most ``most`` labelled documents of each class; scoring reads
 whole texts in one Arrow pass without a shuffle.
@@ -23,8 +24,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tessera.llm import kernel, labelled
+from tessera.llm import kernel, labelled, scratch
 
 BITS = 18
 ORDERS = (3, 4, 5, 6)
@@ -64,40 +66,19 @@ def ngrams(texts: list, wanted: np.ndarray | None = None) -> tuple[np.ndarray, n
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
-def _chunks(texts: list[str]):
-    at, size = 0, 0
-    for i, x in enumerate(texts):
-        size += len(x) + 1
-        if size >= kernel.SLICE_CHARS:
-            yield at, texts[at : i + 1]
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, texts[at:]
+def ratios(df: np.ndarray, n: np.ndarray, alpha: float = 1.0, z: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
+    """(naive Bayes log-count ratio of each bucket, whether it is beyond noise).
 
-
-def fit(texts: list[str], labels: list[int], totals: dict[int, int], alpha: float = 1.0, z: float = 4.0, l2: float = 0.3, steps: int = 250) -> Model | None:
-    """Naive Bayes ratios, then logistic regression on the scaled features."""
-    y = np.asarray(labels, np.int64)
-    if len(y) == 0 or y.min() == y.max():
-        return None
-    df = np.zeros((2, 1 << BITS))
-    for at, part in _chunks(texts):
-        doc, bucket = ngrams(part)
-        toxic = y[at + doc] == 1
-        df[1] += np.bincount(bucket[toxic], minlength=1 << BITS)
-        df[0] += np.bincount(bucket[~toxic], minlength=1 << BITS)
-    n = np.array([(y == 0).sum(), (y == 1).sum()], float)
+    ``df`` holds the clean and the toxic documents with each bucket, ``n`` all
+    clean and toxic ones.
+    """
     ratio = np.log((df[1] + alpha) / (n[1] + 2 * alpha)) - np.log((df[0] + alpha) / (n[0] + 2 * alpha))
-    noise = np.sqrt(1 / (df[1] + alpha) + 1 / (df[0] + alpha))
-    wanted = np.abs(ratio) > z * noise
-    if not wanted.any():  # few labels: every n-gram that is seen
-        wanted = df.sum(0) > 0
-    rows, cols = [], []
-    for at, part in _chunks(texts):
-        doc, bucket = ngrams(part, wanted)
-        rows.append(at + doc)
-        cols.append(bucket)
-    row, col = np.concatenate(rows), np.concatenate(cols)
+    return ratio, np.abs(ratio) > z * np.sqrt(1 / (df[1] + alpha) + 1 / (df[0] + alpha))
+
+
+def regress(row: np.ndarray, col: np.ndarray, y: np.ndarray, ratio: np.ndarray, totals: dict[int, int], l2: float = 0.3, steps: int = 250) -> Model:
+    """Logistic regression on the buckets, each scaled by its ratio; the intercept
+    then gets back the class ratio of the whole label table."""
     kinds, col = np.unique(col, return_inverse=True)
     scale = ratio[kinds]
     x = scale[col]
@@ -114,12 +95,49 @@ def fit(texts: list[str], labels: list[int], totals: dict[int, int], alpha: floa
         b -= rate * (mb / (1 - 0.9**i)) / (np.sqrt(vb / (1 - 0.99**i)) + 1e-8)
     weights = np.zeros(1 << BITS, np.float32)
     weights[kinds] = scale * w
+    n = np.bincount(y, minlength=2)
     prior = np.log(max(totals.get(1, 1), 1) / max(totals.get(0, 1), 1)) - np.log(n[1] / n[0])
     return Model(weights, min(b + prior, -1e-3))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model | None:
-    return fit(*labelled.sample(docs, labels, "toxic", most))
+def fit_on(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, l2: float = 0.3, steps: int = 250) -> Model | None:
+    """Model from a labelled sample of at most ``most`` documents of each class.
+
+    Only counts by bucket and, of each document, the buckets beyond noise come to
+    the driver; texts don't.
+    """
+    rows, totals = labelled.sample(docs, labels, "toxic", most)
+
+    def fn(part, texts):
+        doc, bucket = ngrams(texts)
+        ends = kernel.offsets(doc, len(texts)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))], names=["id", "y", "buckets"])
+
+    seen = scratch.table(rows.mapInArrow(kernel.per_slice(fn, "__text"), "id long, y int, buckets array<int>"))
+    n = np.zeros(2)
+    for r in seen.groupBy("y").count().collect():
+        n[r["y"]] = r["count"]
+    if not n.all():
+        scratch.drop(seen)
+        return None
+    got = seen.select("y", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).toArrow()
+    df, bucket = np.zeros((2, 1 << BITS)), got["bucket"].to_numpy()
+    df[1, bucket] = got["toxic"].to_numpy()
+    df[0, bucket] = got["n"].to_numpy() - df[1, bucket]
+    ratio, wanted = ratios(df, n)
+
+    def beyond(batches):
+        for b in batches:
+            of, flat = np.asarray(pa.compute.list_parent_indices(b.column(2))), np.asarray(b.column(2).flatten())
+            keep = wanted[flat]
+            ends = kernel.offsets(of[keep], b.num_rows).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[keep]))], names=["id", "y", "buckets"])
+
+    kept = seen.mapInArrow(beyond, "id long, y int, buckets array<int>").orderBy("id").toArrow().combine_chunks()
+    scratch.drop(seen)
+    lists = kept["buckets"].combine_chunks()
+    row, col = np.asarray(pa.compute.list_parent_indices(lists)), np.asarray(lists.flatten())
+    return regress(row, col, kept["y"].to_numpy(), ratio, totals, l2, steps)
 
 
 def scores(texts: list, model: Model | None) -> np.ndarray:

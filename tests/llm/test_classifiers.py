@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 
 import numpy as np
@@ -29,14 +30,86 @@ def test_ngrams_equal_plain_ones():
         assert (doc == i).sum() == len(want)  # no collisions among so few
 
 
-def test_toxicity_on_held_out_labels(halves):
+def test_toxicity_on_held_out_labels(spark, halves):
     a, b = halves
-    model = X.fit(a.text.tolist(), a.toxic.tolist(), dict(a.toxic.value_counts()))
+    model = X.fit_on(spark.createDataFrame(a[["doc_id", "text"]]), spark.createDataFrame(a[["doc_id", "toxic"]]))
     said = X.scores(b.text.tolist(), model) >= 0.5
     assert np.mean(said == (b.toxic == 1)) > 0.96
     assert np.mean(said[(b.toxic == 0).to_numpy()]) < 0.03  # clean documents stay
 
 
+def test_toxicity_model_equals_a_plain_one(spark, make_docs):
+    """Counts, ratios and the regression by loops over sets of n-grams."""
+    rng = random.Random(5)
+    rows, y = [], []
+    for i in range(180):
+        y.append(i % 3 == 0)
+        rows.append((i, " ".join(rng.choice(["mild", "warm", "soft", "calm", "cold"] + ["vile"] * 8 * y[-1]) for _ in range(6))))
+    labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(y)], "doc_id long, toxic int")
+    model = X.fit_on(make_docs(rows), labels, l2=0.5, steps=3000)
+    grams = []
+    for _, t in rows:
+        words = {f" {w} " for w in t.split()}
+        grams.append({w[j : j + n] for w in words for n in X.ORDERS for j in range(len(w) - n + 1)})
+    every = sorted(set().union(*grams))
+    bucket = {g: _bucket(g) for g in every}
+    assert len(set(bucket.values())) == len(every)
+    ratio, kept = {}, []
+    for g in every:
+        df = [sum(g in x for x, t in zip(grams, y) if t == k) for k in (False, True)]
+        ratio[g] = math.log((df[1] + 1) / 62) - math.log((df[0] + 1) / 122)
+        if abs(ratio[g]) > 4 * math.sqrt(1 / (df[1] + 1) + 1 / (df[0] + 1)):
+            kept.append(g)
+    assert kept and set(np.flatnonzero(model.weights)) == {bucket[g] for g in kept}
+    x = np.array([[ratio[g] * (g in s) for g in kept] for s in grams])
+    w = np.array([model.weights[bucket[g]] / ratio[g] for g in kept])
+    p = 1 / (1 + np.exp(-(x @ w + model.intercept)))  # all labels are used: the prior moves nothing
+    assert np.allclose(X.scores([t for _, t in rows], model), p, atol=1e-4)
+    assert np.abs(x.T @ (p - np.array(y)) / 180 + 0.5 * w / 180).max() < 1e-3 and abs(np.mean(p - np.array(y))) < 1e-3
+
+
+def _bucket(gram):
+    h = ord(gram[0])
+    for c in gram[1:]:
+        h = (h * int(X._MULTIPLIER) + ord(c)) % 2**64
+    for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> 33)) * m % 2**64
+    return (h ^ (h >> 33)) >> (64 - X.BITS)
+
+
+def test_no_toxic_ngram_beyond_noise(spark, make_docs):
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int")
+    model = X.fit_on(make_docs([(0, "one"), (1, "two")]), labels)
+    assert not model.weights.any() and X.score(make_docs([(2, "two")]), model).first()["toxic"] is False
+
+
+def test_documents_of_one_id_count_with_the_least_text(spark, make_docs):
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    rows, _ = labelled.sample(make_docs([(1, "b"), (1, "a"), (1, None), (2, "c"), (2, "c"), (3, "d")]), labels, "toxic", 9)
+    assert sorted(map(tuple, rows.collect())) == [(1, "a", 0), (2, "c", 1)]
+
+
+def test_first_tree_splits_where_all_gains_are_compared(halves):
+    """The root and its leaves against every cut of every statistic."""
+    a, _ = halves
+    x, y = Q.statistics(a.text.tolist()[:400]), a.quality.to_numpy()[:400].astype(float)
+    model = Q.fit(x, y, trees=1, depth=1, bins=16, rate=1.0)
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    best = (0, None, None)
+    for j in range(x.shape[1]):
+        for cut in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 17)[1:-1], method="lower")):
+            left = x[:, j] <= cut
+            if min(h[left].sum(), h[~left].sum()) < 2:
+                continue
+            gain = sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (left, ~left)) - g.sum() ** 2 / (h.sum() + 1)
+            if gain > best[0] + 1e-9:
+                best = (gain, j, cut)
+    assert (model.feature[0, 0], model.threshold[0, 0]) == (best[1], np.float32(best[2]))
+    left = x[:, best[1]] <= np.float32(best[2])
+    assert model.leaf[0] == pytest.approx([-g[m].sum() / (h[m].sum() + 1) for m in (left, ~left)])
+
+
 def test_quality_on_held_out_labels(halves):
     a, b = halves
     model = Q.fit(Q.statistics(a.text.tolist()), a.quality.to_numpy())
@@ -87,7 +160,8 @@ def test_without_labels_nothing_is_rejected(spark, awkward, module):
 def test_sample_is_bounded_and_ignores_contradictions(spark, make_docs):
     docs = make_docs([(i, f"text {i}") for i in range(40)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0)], "doc_id long, toxic int")
-    texts, y, totals = labelled.sample(docs, labels, "toxic", 5)
+    rows, totals = labelled.sample(docs, labels, "toxic", 5)
+    texts, y = zip(*((r["__text"], r["__y"]) for r in rows.collect()))
     assert len(texts) == 10 and sum(y) == 5 and totals == {0: 20, 1: 19} and "text 3" not in texts
 
 
