@@ -6,9 +6,15 @@ typed placeholders, other words into themselves in lower case.  Windows of
 ``window`` tokens are hashed and joined with those of the benchmark.  Matches of
 one document and item that lie at the same offset are checked for their slots:
 the placeholders' values must map one to one, as they do in a copy and in a
-question that was only given other parameters.  A document is contaminated by
+question that was only given other parameters; ``consistency`` of the pairs, or
+all but one, have to.  Windows without placeholders count whatever the others'
+values say.  A document is contaminated by
 an item when the matches that pass cover at least ``coverage`` of its windows.
 
+A window has at least half as many words as tokens.  An item without such a
+window, as an arithmetic one, is compared by windows of up to ``rich`` tokens, the
+whole item if it is that short, that have two words.
+
 Windows of the plain tokens, in lower case and with numbers and names as they
 are, are joined besides.  They need no literal minimum and no slots, so copies
 are found however many placeholders they have and in whatever case.  A document
@@ -16,14 +22,14 @@ is contaminated by an item when the windows of either kind cover enough; the
 figures are those of the template windows where these do.
 
 The join is a hash join on 64-bit window hashes.  Where the benchmark has at
-most ``most_sent`` windows their hashes are sent to the scan, which then drops
-document windows that cannot join; a larger benchmark is joined by shuffle.  The
-result is the same.
+most ``most_sent`` windows (8 bytes each) their hashes are sent to the scan, which
+then drops document windows that cannot join; a larger benchmark is joined by
+shuffle.  The result is the same.
 
 Defined results: null and empty texts have no windows.  Items of fewer than
 ``window`` tokens are one window of their own; below ``least`` tokens, or with
-fewer placeholder-free tokens than half a window, they match as plain tokens
-only.  An item of a single token matches nothing.  Rows with
+fewer than two words, they match as plain tokens only.  An item of a single token
+matches nothing.  Rows with
 a null id are never reported, and ``remove`` keeps such documents.  Rows that
 share an id count as one document or item.  Empty tables give empty results.
 """
@@ -42,8 +48,9 @@ LEAST = 5
 LEAST_PLAIN = 2
 COVERAGE = 0.5
 CONSISTENCY = 0.8
+RICH = 16
 MOST_SENT = 1_000_000
-MOST_GONE = 4_000_000
+MOST_GONE = 128 << 20  # bytes
 
 UNITS = """kg g mg lb lbs oz km m cm mm mi mile miles ft foot feet inch inches yard yards l ml liter liters litre litres
 gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years
@@ -63,7 +70,8 @@ def _word_hash(words: list[str]) -> np.ndarray:
     return kernel.span_hashes(t.codes, t.starts[:-1], t.starts[:-1] + t.lens)
 
 
-_PLAIN = np.uint64(0x5C5C5C5C00000004)
+_PLAIN, _RICH = np.uint64(0x5C5C5C5C00000004), np.uint64(0x5C5C5C5C00000005)
+TEMPLATE, PLAINLY, RICHLY = 0, 1, 2  # kinds of windows
 _UNIT_HASHES = np.sort(_word_hash(UNITS))
 
 
@@ -114,14 +122,15 @@ def tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return doc[group], code[group], value, (number | unit | name)[group]
 
 
-def windows(doc: np.ndarray, code: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place of first token, hash) of each window with enough literal tokens."""
+def windows(doc: np.ndarray, code: np.ndarray, slot: np.ndarray, size: int, words: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(place of first token, hash) of each window with enough words, half of its
+    tokens if no number is given."""
     many = len(code) - size + 1
     if many <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = np.arange(many)
     literal = np.concatenate(([0], np.cumsum(~slot, dtype=np.int32)))
-    fit = (doc[size - 1 :] == doc[:many]) & (2 * (literal[size:] - literal[:-size]) >= size)
+    fit = (doc[size - 1 :] == doc[:many]) & (literal[size:] - literal[:-size] >= (size / 2 if words is None else words))
     at = at[fit]
     return at, kernel.span_hashes(code, at, at + size) ^ np.uint64(size)
 
@@ -132,6 +141,12 @@ def plain_windows(doc: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndar
     return at, h ^ _PLAIN
 
 
+def rich_windows(doc: np.ndarray, code: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of first token, hash) of each window with two words."""
+    at, h = windows(doc, code, slot, size, 2)
+    return at, h ^ _RICH
+
+
 def _rows(ids, doc, value, slot, at, h, size, base) -> pa.RecordBatch:
     """Windows as rows; slots hold the values of a window's placeholders."""
     inside = np.concatenate(([0], np.cumsum(slot)))
@@ -147,25 +162,32 @@ def _rows(ids, doc, value, slot, at, h, size, base) -> pa.RecordBatch:
 _SCHEMA = "id long, hash long, place long, slots array<long>"
 
 
-def _kind(rows: pa.RecordBatch, size: int, plain: bool) -> pa.RecordBatch:
+def _kind(rows: pa.RecordBatch, size: int, kind: int) -> pa.RecordBatch:
     rows = rows.append_column("size", pa.array(np.full(rows.num_rows, size, np.int32)))
-    return rows.append_column("plain", pa.array(np.full(rows.num_rows, plain)))
+    return rows.append_column("kind", pa.array(np.full(rows.num_rows, kind, np.int32)))
 
 
-def benchmark_windows(benchmark: DataFrame, window: int, least: int) -> DataFrame:
-    """(id, hash, place, slots, size, plain) of the items' windows."""
+def benchmark_windows(benchmark: DataFrame, window: int, least: int, rich: int = RICH) -> DataFrame:
+    """(id, hash, place, slots, size, kind) of the items' windows."""
 
     def fn(part, texts):
         doc, code, value, slot = tokens(texts)
         base = kernel.offsets(doc, len(texts))
         length = np.diff(base)
-        out = []
+        out, some = [], np.zeros(len(texts), bool)
         for size in range(least, window + 1):
             at, h = windows(doc, code, slot, size)
             right = length[doc[at]] == size if size < window else length[doc[at]] >= size
+            some[doc[at[right]]] = True
+            if right.any():
+                rows = _rows(part.column(0), doc, value, slot, at[right], h[right], size, base)
+                out.append(_kind(rows, size, TEMPLATE))
+        for size in range(least, rich + 1):
+            at, h = rich_windows(doc, code, slot, size)
+            right = ~some[doc[at]] & (length[doc[at]] == size if size < rich else length[doc[at]] >= size)
             if right.any():
                 rows = _rows(part.column(0), doc, value, slot, at[right], h[right], size, base)
-                out.append(_kind(rows, size, False))
+                out.append(_kind(rows, size, RICHLY))
         doc, code = plain_tokens(texts)
         base = kernel.offsets(doc, len(texts))
         length = np.diff(base)
@@ -174,14 +196,14 @@ def benchmark_windows(benchmark: DataFrame, window: int, least: int) -> DataFram
             at, h = plain_windows(doc, code, size)
             right = length[doc[at]] == size if size < window else length[doc[at]] >= size
             if right.any():
-                out.append(_kind(_rows(part.column(0), doc, code, none, at[right], h[right], size, base), size, True))
+                out.append(_kind(_rows(part.column(0), doc, code, none, at[right], h[right], size, base), size, PLAINLY))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
 
     items = benchmark.selectExpr("cast(item_id as long) id", "text").where("id is not null and text is not null")
-    return items.mapInArrow(kernel.per_slice(fn), _SCHEMA + ", size int, plain boolean")
+    return items.mapInArrow(kernel.per_slice(fn), _SCHEMA + ", size int, kind int")
 
 
-def document_windows(docs: DataFrame, sizes: list[tuple[int, bool]], wanted: np.ndarray | None) -> DataFrame:
+def document_windows(docs: DataFrame, sizes: list[tuple[int, int]], wanted: np.ndarray | None) -> DataFrame:
     """(id, hash, place, slots) of the documents' windows, or of those wanted."""
     near = None
     if wanted is not None:
@@ -195,8 +217,9 @@ def document_windows(docs: DataFrame, sizes: list[tuple[int, bool]], wanted: np.
         plain_base = kernel.offsets(plain_doc, len(texts))
         none = np.zeros(len(plain_code), bool)
         out = []
-        for size, plain in sizes:
-            at, h = plain_windows(plain_doc, plain_code, size) if plain else windows(doc, code, slot, size)
+        for size, kind in sizes:
+            plain = kind == PLAINLY
+            at, h = plain_windows(plain_doc, plain_code, size) if plain else (rich_windows if kind == RICHLY else windows)(doc, code, slot, size)
             if wanted is not None:
                 keep = near[(h >> np.uint64(44)).astype(np.int64)]
                 at, h = at[keep], h[keep]
@@ -211,30 +234,33 @@ def document_windows(docs: DataFrame, sizes: list[tuple[int, bool]], wanted: np.
     return rows.mapInArrow(kernel.per_slice(fn), _SCHEMA)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, coverage: float = COVERAGE, consistency: float = CONSISTENCY, most_sent: int = MOST_SENT) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, rich: int = RICH, coverage: float = COVERAGE, consistency: float = CONSISTENCY, most_sent: int = MOST_SENT) -> DataFrame:
     """(doc_id, item_id, matched, windows, coverage) of contaminated documents."""
-    items = scratch.table(benchmark_windows(benchmark, window, least).dropDuplicates(["id", "hash", "place"]))
-    sizes = sorted((r["size"], r["plain"]) for r in items.select("size", "plain").distinct().collect())
+    items = scratch.table(benchmark_windows(benchmark, window, least, rich).dropDuplicates(["id", "hash", "place"]))
+    sizes = sorted((r["size"], r["kind"]) for r in items.select("size", "kind").distinct().collect())
     hashes = items.select("hash").distinct()
     wanted = None
     if hashes.count() <= most_sent:
-        wanted = np.sort(np.array([r["hash"] for r in hashes.collect()], np.int64).astype(np.uint64))
+        wanted = np.sort(hashes.toArrow()["hash"].to_numpy().astype(np.uint64))
     found = document_windows(docs, sizes, wanted)
-    right = items.select("hash", "plain", F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
-    met = found.join(right, "hash").select(F.col("id").alias("doc_id"), "item_id", "plain", "hash", (F.col("place") - F.col("item_place")).alias("shift"), F.arrays_zip(F.col("item_slots").alias("p"), F.col("slots").alias("q")).alias("pairs"))
-    runs = met.groupBy("doc_id", "item_id", "plain", "shift").agg(F.collect_set("hash").alias("hashes"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    right = items.select("hash", "kind", F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
+    met = found.join(right, "hash").select(F.col("id").alias("doc_id"), "item_id", "kind", "hash", (F.col("place") - F.col("item_place")).alias("shift"), F.arrays_zip(F.col("item_slots").alias("p"), F.col("slots").alias("q")).alias("pairs"))
+    bare = F.when(F.size("pairs") == 0, F.col("hash"))  # nulls are not collected
+    runs = met.groupBy("doc_id", "item_id", "kind", "shift").agg(F.collect_set("hash").alias("hashes"), F.collect_set(bare).alias("bare"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     kinds = lambda c: F.size(F.array_distinct(F.transform("pairs", lambda x: x[c])))
-    fit = (F.size("pairs") == 0) | (F.least(kinds("p"), kinds("q")) >= consistency * F.size("pairs"))
-    hits = runs.where(fit).groupBy("doc_id", "item_id", "plain").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hashes")))).cast("long").alias("matched"))
-    total = items.groupBy(F.col("id").alias("item_id"), "plain").agg(F.countDistinct("hash").alias("windows"))
-    out = hits.join(total, ["item_id", "plain"]).withColumn("coverage", F.col("matched") / F.col("windows")).where(F.col("coverage") >= coverage)
-    one = out.groupBy("doc_id", "item_id").agg(F.min_by(F.struct("matched", "windows", "coverage"), "plain").alias("x"))
+    paired = F.least(kinds("p"), kinds("q"))
+    fit = (paired >= consistency * F.size("pairs")) | (paired >= F.size("pairs") - 1)
+    hits = runs.withColumn("passed", F.when(fit, F.col("hashes")).otherwise(F.col("bare"))).where(F.size("passed") > 0)
+    hits = hits.groupBy("doc_id", "item_id", "kind").agg(F.size(F.array_distinct(F.flatten(F.collect_list("passed")))).cast("long").alias("matched"))
+    total = items.groupBy(F.col("id").alias("item_id"), "kind").agg(F.countDistinct("hash").alias("windows"))
+    out = hits.join(total, ["item_id", "kind"]).withColumn("coverage", F.col("matched") / F.col("windows")).where(F.col("coverage") >= coverage)
+    # the figures of template windows, then of plain ones, then of rich ones
+    one = out.groupBy("doc_id", "item_id").agg(F.min_by(F.struct("matched", "windows", "coverage"), "kind").alias("x"))
     return one.select("doc_id", "item_id", "x.matched", "x.windows", "x.coverage")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """The documents that are not contaminated; columns as they were."""
     bad = scratch.table(contaminated(docs, benchmark, **parameters).select(F.col("doc_id").alias("__gone")).distinct())
-    # up to MOST_GONE ids go to the texts; with more, both meet in a shuffle
-    bad = F.broadcast(bad) if bad.count() <= MOST_GONE else bad
-    return docs.join(bad, docs["doc_id"] == F.col("__gone"), "left_anti")
+    # ids of up to MOST_GONE bytes go to the texts; with more, both meet in a shuffle
+    return docs.join(scratch.sent(bad, MOST_GONE), docs["doc_id"] == F.col("__gone"), "left_anti")

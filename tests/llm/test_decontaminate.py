@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 
 from tessera.llm import decontaminate as D
@@ -32,6 +34,40 @@ def test_slots_must_map_one_to_one(spark, make_docs):
     assert found(spark, docs, bench(spark, [(1, item)])) == {(2, 1)}
 
 
+def test_one_coincidence_and_windows_without_slots(spark, make_docs):
+    """Few slots of which two get one value, and words that are the item's own."""
+    item = "Divide 12 cakes among 3 children so that every child has the same share and nobody is left without a piece."
+    docs = make_docs([(1, item.replace("12", "5").replace("3", "5")), (2, item.replace("among 3", "among 12").replace("Divide 12", "Divide 3"))])
+    assert found(spark, docs, bench(spark, [(1, item)])) == {(1, 1), (2, 1)}
+    item = "Add 4 and 6 and 4 and 6; " + CLEAN
+    mixed = "Add 1 and 1 and 2 and 3; " + CLEAN
+    assert found(spark, make_docs([(1, mixed)]), bench(spark, [(1, item)])) == {(1, 1)}
+
+
+def test_other_parameters_of_items_without_words_enough(spark, make_docs):
+    item = "What is 12 + 7 * 3 - 4 / 2?"
+    docs = make_docs([(1, f"{CLEAN} What is 31 + 9 * 5 - 8 / 6? {CLEAN}"), (2, f"{CLEAN} What is 31 + 9? {CLEAN}"), (3, "1 2 3 4 5 6 7 8 9"), (4, f"{CLEAN} What is 1 + 1 * 1 - 1 / 1? {CLEAN}")])
+    long = "Sum " + " ".join(str(i) for i in range(30, 60)) + " and multiply"
+    docs = docs.union(make_docs([(5, "Sum " + " ".join(str(i) for i in range(130, 160)) + " and multiply")]))
+    assert found(spark, docs, bench(spark, [(1, item), (2, long)])) == {(1, 1), (5, 2)}
+
+
+def test_every_benchmark_item_with_other_parameters_is_caught(spark, sf, make_docs):
+    """Numbers of all items of the table replaced one to one."""
+    items = pd.read_parquet(f"{sf}/benchmark.parquet")
+    other = lambda t: re.sub(r"\d+", lambda m: str(3 * int(m.group()) + 17), t)
+    rows = [(i, f"{CLEAN} {other(t)} {CLEAN}") for i, t in zip(items.item_id.tolist(), items.text)]
+    got = found(spark, make_docs(rows), bench(spark, [(i, t) for i, t in zip(items.item_id.tolist(), items.text)]))
+    assert {(i, i) for i, _ in rows} <= got
+
+
+def test_the_removal_by_shuffle_gives_the_same(spark, make_docs, monkeypatch):
+    docs, items = make_docs([(1, QUESTION), (2, CLEAN), (None, QUESTION)]), bench(spark, [(9, QUESTION)])
+    few = sorted(map(str, D.remove(docs, items).collect()))
+    monkeypatch.setattr(D, "MOST_GONE", 0)
+    assert sorted(map(str, D.remove(docs, items).collect())) == few and len(few) == 2
+
+
 def test_join_by_shuffle_gives_the_same(spark, make_docs):
     docs = make_docs([(1, f"{CLEAN} {QUESTION}"), (2, CHANGED), (3, CLEAN)])
     items = bench(spark, [(9, QUESTION), (8, CLEAN)])
@@ -41,8 +77,9 @@ def test_join_by_shuffle_gives_the_same(spark, make_docs):
 def test_copies_rich_in_numbers_and_names_and_short_items_are_caught(spark, make_docs):
     items = [(1, "What is 12 + 7 * 3 - 4 / 2?"), (2, "17 4 96 21 8 33 5 72 10 64"), (3, "Name Anna Berta, Carl Dora; Emil Fritz; Gustav Hans; Ida Jonas"), (4, "Define osmosis briefly."), (5, "Osmosis")]
     docs = make_docs([(i, f"{CLEAN} {t} {CLEAN}") for i, t in items] + [(9, f"{CLEAN} What is 13 + 7 * 3 - 4 / 2? 17 4 96 {CLEAN}")])
-    assert found(spark, docs, bench(spark, items)) == {(i, i) for i in range(1, 5)}
-    assert found(spark, docs, bench(spark, items), most_sent=0) == {(i, i) for i in range(1, 5)}
+    want = {(i, i) for i in range(1, 5)} | {(9, 1)}  # 9 asks item 1 with another number
+    assert found(spark, docs, bench(spark, items)) == want
+    assert found(spark, docs, bench(spark, items), most_sent=0) == want
 
 
 def test_copies_in_another_case_are_caught(spark, make_docs):
