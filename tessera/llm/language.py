@@ -6,10 +6,10 @@ distance to a language is the sum over those n-grams of how far out of place
 each is in the language's profile, ``length`` for one that is not there.  The
 nearest language wins.
 
-Language profiles are made from the ``lang`` column of at most ``most``
-documents a language, those whose ids hash least.
+Language profiles are made from the ``lang`` column of at most ``most`` ids a
+language, those with the least MD5; all documents with such an id count.
 
-Defined results: equally frequent n-grams rank by their hash.  Equally near
+N-grams are 34-bit hashes.  Defined results: equally frequent n-grams rank by hash.  Equally near
 languages rank by name.  A null, empty or letterless text has a null language and
 distance, and so has every text when no labelled text is there.  A null or empty
 ``lang`` labels nothing.  Each input row gives one output row; a null ``doc_id``
@@ -67,13 +67,17 @@ def profiles(texts: list, length: int = LENGTH, orders=ORDERS) -> tuple[np.ndarr
     """(text, rank from 0, n-gram) of each text's most frequent n-grams."""
     doc, gram, count = counts(texts, orders)
     top = (1 << _COUNT_BITS) - 1
-    key = (doc.astype(np.uint64) << np.uint64(64 - 10)) | ((top - np.minimum(count, top)).astype(np.uint64) << np.uint64(_HASH_BITS)) | gram.astype(np.uint64)
-    key.sort()
-    doc = (key >> np.uint64(54)).astype(np.int64)
+    if len(count) and count.max() > top:  # texts of millions of characters
+        order = np.lexsort((gram, -count, doc))
+        doc, gram = doc[order], gram[order]
+    else:
+        key = (doc.astype(np.uint64) << np.uint64(64 - 10)) | ((top - count).astype(np.uint64) << np.uint64(_HASH_BITS)) | gram.astype(np.uint64)
+        key.sort()
+        doc, gram = (key >> np.uint64(54)).astype(np.int64), (key & np.uint64((1 << _HASH_BITS) - 1)).astype(np.int64)
     base = kernel.offsets(doc, len(texts))
-    rank = np.arange(len(key)) - base[doc]
+    rank = np.arange(len(doc)) - base[doc]
     keep = rank < length
-    return doc[keep], rank[keep], (key[keep] & np.uint64((1 << _HASH_BITS) - 1)).astype(np.int64)
+    return doc[keep], rank[keep], gram[keep]
 
 
 @dataclass
@@ -97,7 +101,7 @@ def assemble(by_language: dict[str, list[int]], length: int = LENGTH) -> Profile
 
 def fit_on(docs: DataFrame, most: int = MOST_LABELLED, length: int = LENGTH) -> Profiles:
     ids = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("lang").alias("__lang")).where("__id is not null and __lang is not null and __lang <> ''")
-    order = Window.partitionBy("__lang").orderBy(F.xxhash64(F.col("__id")), F.col("__id"))
+    order = Window.partitionBy("__lang").orderBy(F.md5(F.col("__id").cast("string")), F.col("__id"))
     # bounded by languages * most rows, whatever the input
     chosen = ids.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).select("__id", "__lang").distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text")).where("__text is not null").join(F.broadcast(chosen), "__id")
@@ -165,3 +169,40 @@ def identify(docs: DataFrame, known: Profiles) -> DataFrame:
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(name, pa.string()), distance, margin], names=["doc_id", "language", "distance", "margin"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_per_slice(fn), "doc_id long, language string, distance long, margin long")
+
+
+_GRAMS = """
+padded AS (SELECT owner, ' ' || word || ' ' AS w, count(*) AS c FROM (SELECT owner, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM TEXTS) GROUP BY ALL),
+cut AS (SELECT owner, substr(w, i, n) AS g, c FROM (SELECT owner, w, c, n, unnest(range(1, length(w) - n + 2)) AS i FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS n FROM padded) WHERE length(w) >= n)),
+counted AS MATERIALIZED (SELECT owner, g, sum(c) AS c FROM cut WHERE g <> ' ' GROUP BY ALL)"""
+
+
+def _hashes(grams: str) -> str:
+    """CTEs that hash the n-grams g of a relation, as ``counts`` does: hashed(g, gram)."""
+    wide = lambda x: f"(({x}) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    steps, last = [f"h1 AS (SELECT g, length(g) AS n, {wide('unicode(g[1])::UHUGEINT + 1')} AS h FROM (SELECT DISTINCT g FROM {grams}))"], "h1"
+    for i in range(2, max(ORDERS) + 1):
+        steps.append(f"h{i} AS (SELECT g, n, CASE WHEN n >= {i} THEN {wide(f'h::UHUGEINT * {int(_MULTIPLIER)}::UHUGEINT + unicode(g[{i}])::UHUGEINT')} ELSE h END AS h FROM {last})")
+        last = f"h{i}"
+    steps.append(f"m0 AS (SELECT g, {wide('h::UHUGEINT + n::UHUGEINT')} AS h FROM {last})")
+    for i, m in enumerate((0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)):
+        steps.append(f"m{i + 1} AS (SELECT g, {wide(f'xor(h, h >> 33)::UHUGEINT * {m}::UHUGEINT')} AS h FROM m{i})")
+    steps.append(f"hashed AS MATERIALIZED (SELECT g, (xor(h, h >> 33) >> {64 - _HASH_BITS})::BIGINT AS gram FROM m2)")
+    return ",\n".join(steps)
+
+
+def oracle_sql() -> str:
+    """The query on ``documents`` in DuckDB's SQL."""
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS owner, doc_id::BIGINT AS doc_id, text, lang FROM documents),
+{_GRAMS.replace("TEXTS", "d")},
+{_hashes("counted")},
+own AS MATERIALIZED (SELECT owner, gram, sum(c) AS c FROM counted JOIN hashed USING (g) GROUP BY ALL),
+ranked AS (SELECT owner, gram, row_number() OVER (PARTITION BY owner ORDER BY c DESC, gram) - 1 AS place FROM own QUALIFY place < {LENGTH}),
+ids AS (SELECT DISTINCT doc_id, lang FROM (SELECT doc_id, lang FROM d WHERE doc_id IS NOT NULL AND lang <> '' QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) <= {MOST_LABELLED})),
+known AS MATERIALIZED (SELECT ids.lang, gram, row_number() OVER (PARTITION BY ids.lang ORDER BY sum(c) DESC, gram) - 1 AS home
+  FROM d JOIN ids USING (doc_id) JOIN own USING (owner) GROUP BY ids.lang, gram QUALIFY home < {LENGTH}),
+far AS (SELECT owner, l.lang, sum(CASE WHEN home IS NULL THEN {LENGTH} ELSE abs(home - place) END) AS distance
+  FROM ranked CROSS JOIN (SELECT DISTINCT lang FROM known) l LEFT JOIN known k ON k.lang = l.lang AND k.gram = ranked.gram GROUP BY ALL),
+placed AS (SELECT owner, lang, distance, lead(distance) OVER (PARTITION BY owner ORDER BY distance, lang) - distance AS margin, row_number() OVER (PARTITION BY owner ORDER BY distance, lang) AS n FROM far)
+SELECT doc_id, placed.lang AS language, distance::BIGINT AS distance, margin::BIGINT AS margin FROM d LEFT JOIN placed ON d.owner = placed.owner AND n = 1"""

@@ -73,5 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_language_id": language.oracle_sql(),
     "op7_license_scan": licences.oracle_sql(),
 }
