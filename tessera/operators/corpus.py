@@ -120,10 +120,14 @@ def chunks(docs: DataFrame, section_chars: int = 4096, abstract_chars: int = 204
 
 
 def upper_median(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """The element at place n // 2 of the sorted values, for each group."""
+    """The element at place n // 2 of the sorted values, for each group.
+
+    Equal values are counted first, so a group's window has one row a value.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
     w = Window.partitionBy(*by)
-    ranked = df.select(*by, F.col(value).alias("__v"), F.row_number().over(w.orderBy(value)).alias("__n"), F.count("*").over(w).alias("__of"))
-    return ranked.where(F.col("__n") == F.floor(F.col("__of") / 2) + 1).select(*by, F.col("__v").alias("upper_median"))
+    ranked = counted.withColumn("__upto", F.sum("__c").over(w.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("__of", F.sum("__c").over(w))
+    return ranked.where(F.col("__upto") > F.floor(F.col("__of") / 2)).groupBy(*by).agg(F.min("__v").alias("upper_median"))
 
 
 def length_statistics(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -135,8 +139,8 @@ def length_statistics(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 def histogram(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
     """(value, n, percent), most frequent first, ties by value."""
     counted = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    share = F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 1)
-    out = counted.withColumn("percent", share)  # over one row a value
+    total = counted.agg(F.sum("n").alias("__all"))  # one row
+    out = counted.crossJoin(total).select("value", "n", F.round(100 * F.col("n") / F.col("__all"), 1).alias("percent"))
     return out.orderBy(F.desc("n"), "value").limit(top) if top else out
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,6 +43,31 @@ def _blocks(df: DataFrame, key: str, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
+def save(vectors: DataFrame, path: str, model: str) -> None:
+    """An index: (pos, vector) of one model, scaled to length 1, in order of pos
+    within its files."""
+    scaled = vectors.select("pos", normalised("vector").alias("vector")).where("vector is not null")
+    scaled.sortWithinPartitions("pos").write.mode("overwrite").parquet(f"{path}/model={model}")
+
+
+def load(spark: SparkSession, path: str, model: str) -> DataFrame:
+    """(pos, vector) as ``save`` wrote it; another model's files are not read."""
+    return spark.read.parquet(f"{path}/model={model}")
+
+
+def late_interaction(ranked: DataFrame, queries: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, pos, score, rank): candidates by the sum, over a query's token
+    vectors, of the best inner product with a token vector of the passage.
+
+    ranked is (query_id, pos), queries (query_id, vectors), passages (pos, vectors).
+    """
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    both = ranked.select("query_id", "pos").join(queries.select("query_id", F.col("vectors").alias("__q")), "query_id").join(passages.select("pos", F.col("vectors").alias("__p")), "pos")
+    best = F.transform("__q", lambda q: F.coalesce(F.array_max(F.transform("__p", lambda p: dot(q, p))), F.lit(0.0)))
+    scored = both.select("query_id", "pos", F.round(F.aggregate(best, F.lit(0.0), lambda s, x: s + x), 6).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")))
+
+
 def search(entries: DataFrame, queries: DataFrame, k: int, oversample: int = 1, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
     """(query_id, pos, score, rank) of the k * oversample best entries.
 
@@ -53,6 +78,9 @@ def search(entries: DataFrame, queries: DataFrame, k: int, oversample: int = 1,
     e = entries.select("pos", normalised("vector").alias("v")).where("v is not null")
     q = queries.select("query_id", normalised("vector", 1e-8).alias("v")).where("v is not null")
     ne, nq = (max(1, math.ceil(x.count() / block)) for x in (entries, queries))
+    cores = entries.sparkSession.sparkContext.defaultParallelism
+    if ne * nq < cores:  # small tables: a block pair for each core, so that all work
+        ne = -(-cores // nq)
     left = q.withColumn("qb", _blocks(q, "query_id", nq)).withColumn("eb", F.explode(F.sequence(F.lit(0), F.lit(ne - 1))))
     right = e.withColumn("eb", _blocks(e, "pos", ne)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     names = [left.schema["query_id"].dataType.simpleString(), right.schema["pos"].dataType.simpleString()]
@@ -63,17 +91,16 @@ def search(entries: DataFrame, queries: DataFrame, k: int, oversample: int = 1,
             return empty
         x, y = (np.asarray(t["v"].combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) for t in (a, b))
         b_pos = b["pos"].to_numpy()
-        order = np.argsort(b_pos, kind="stable")
-        y, b_pos, a_id = y[order], b_pos[order], a["query_id"].to_numpy()
+        a_id = a["query_id"].to_numpy()
         out = []
         for at in range(0, len(x), 256):
             s = np.round(x[at : at + 256] @ y.T, 6)
             if exclude_self:
                 s[a_id[at : at + 256, None] == b_pos[None]] = -np.inf
-            top = np.argsort(-s, axis=1, kind="stable")[:, :most]
-            best = np.take_along_axis(s, top, 1)
-            row, col = np.nonzero(np.isfinite(best))
-            out.append(pa.table({"query_id": a_id[at + row], "pos": b_pos[top[row, col]], "score": best[row, col]}))
+            if s.shape[1] > most:  # all that tie with the last place stay
+                s[s < np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most, None]] = -np.inf
+            row, col = np.nonzero(np.isfinite(s))
+            out.append(pa.table({"query_id": a_id[at + row], "pos": b_pos[col], "score": s[row, col]}))
         return pa.concat_tables(out)
 
     found = left.groupBy("qb", "eb").cogroup(right.groupBy("qb", "eb")).applyInArrow(product, f"query_id {names[0]}, pos {names[1]}, score double")

@@ -1,16 +1,25 @@
 """BM25 over whole query tables.
 
-Statistics (document frequencies, mean length) always cover the whole corpus;
-postings are made only for terms that some query has, before any shuffle, so a
-batch of queries costs two tokenising passes, one shuffle of the vocabulary with
-map-side counts and two of the matching postings.  An ``Index`` keeps postings
-and statistics as tables, for many batches over one corpus.
+Statistics (document frequencies, mean length) always cover the whole corpus and
+cost one tokenising pass and one shuffle of the vocabulary with map-side counts.
+
+``bm25`` scores a batch of queries in a second pass without making postings:
+query terms and weights are sent to the chunks, term counts are taken within each
+chunk, an Arrow batch of chunks is one matrix product with a block of queries, and
+only the best of a batch leave it, so the one shuffle is that of the winners.  A
+batch of queries too large to send meets postings instead.
+
+An ``Index`` keeps postings and statistics as tables, for many batches over one
+corpus; postings are made only for the terms asked for, if those are given.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,7 +28,8 @@ from tessera import store
 from tessera.functions import text as T
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-MOST_SENT = 1_000_000
+MOST_SENT = 128 << 20  # bytes of query terms
+QUERY_BLOCK, CHUNK_BLOCK = 256, 256
 
 
 @dataclass
@@ -81,7 +91,8 @@ def build(corpus: DataFrame, pos: str = "pos", text: str = "text", only: DataFra
     flat = tokens.select("pos", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     if only is not None:
         flat = flat.join(only.select("term").distinct(), "term", "left_semi")
-    postings = flat.groupBy("term", "pos", "dl").agg(F.count("*").alias("tf"))
+    # placed by chunk, so what is summed later by chunk is together already
+    postings = flat.repartition("pos").groupBy("term", "pos", "dl").agg(F.count("*").alias("tf"))
     return Index(store.written(postings) if keep else postings, terms, totals, corpus.select(F.col(pos).alias("pos")))
 
 
@@ -90,21 +101,113 @@ def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text")
     return queries.select(F.col(query).alias("query_id"), F.explode(T.tokens(text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+def sent_weights(asked: DataFrame, terms: DataFrame) -> tuple[DataFrame, bool]:
+    """((query_id, term, w) written, whether it is small enough to send)."""
+    weighted = store.written(asked.join(terms.select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w")))
+    return weighted, (weighted.agg(F.sum(F.lit(64) + F.length("term"))).first()[0] or 0) <= MOST_SENT
+
+
 def score(index: Index, asked: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, pos, score) of every posting that a query meets.
 
-    Postings are placed by chunk.  Up to ``MOST_SENT`` query terms are sent to
-    them, so that what the join multiplies is summed where it arises; a larger
-    batch meets the postings in a shuffle by term.
+    Query terms of up to ``MOST_SENT`` bytes are sent to the postings, so that
+    what the join multiplies is summed where it arises; a larger batch meets them
+    in a shuffle by term, whose common terms are split as skew.
     """
-    weighted = store.written(asked.join(index.terms.select("term", "idf"), "term"))
-    weighted = F.broadcast(weighted) if weighted.count() <= MOST_SENT else weighted
+    weighted, small = sent_weights(asked, index.terms)
     long = F.lit(1 - b) + b * F.col("dl") / F.col("avgdl")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * long)
-    met = index.postings.repartition("pos").join(weighted, "term").crossJoin(index.totals.select("avgdl"))
+    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * long)
+    met = index.postings.join(F.broadcast(weighted) if small else weighted, "term").crossJoin(index.totals.select("avgdl"))
     return met.groupBy("query_id", "pos").agg(F.round(F.sum(part), 6).alias("score"))
 
 
+@dataclass
+class _Block:
+    """Some queries and their terms: weights is term x query."""
+
+    ids: np.ndarray
+    terms: pa.Array
+    weights: np.ndarray
+
+
+def _query_blocks(weighted: pa.Table) -> list[_Block]:
+    weighted = weighted.sort_by([("query_id", "ascending"), ("term", "ascending")])
+    ids, own = np.unique(weighted["query_id"].to_numpy(), return_inverse=True)
+    term, w = weighted["term"].combine_chunks(), weighted["w"].to_numpy()
+    out = []
+    for at in range(0, len(ids), QUERY_BLOCK):
+        lo, hi = np.searchsorted(own, (at, at + QUERY_BLOCK))
+        coded = term.slice(lo, hi - lo).dictionary_encode()
+        weights = np.zeros((len(coded.dictionary), len(ids[at : at + QUERY_BLOCK])))
+        weights[coded.indices.to_numpy(), own[lo:hi] - at] = w[lo:hi]
+        out.append(_Block(ids[at : at + QUERY_BLOCK], coded.dictionary, weights))
+    return out
+
+
+def _best_of(block: _Block, pos: np.ndarray, owner: np.ndarray, size: np.ndarray, flat: pa.Array, avgdl: float, k: int, k1s: tuple[float, ...], b: float):
+    """(method, query, pos, score) of the best of some chunks, sorted by pos."""
+    at = pc.index_in(flat, value_set=block.terms)
+    known = np.asarray(at.is_valid())
+    if not known.any():
+        return
+    many = len(block.terms)
+    tf = np.bincount(owner[known] * many + np.asarray(at.drop_null()), minlength=len(pos) * many).reshape(len(pos), many).astype(float)
+    long = (1 - b + b * size / avgdl)[:, None]
+    met = None
+    if (block.weights[block.weights != 0] <= 0).any() or (block.weights == 0).all():
+        met = (tf > 0).astype(float) @ (block.weights != 0) > 0
+    for method, k1 in enumerate(k1s):
+        s = np.round((tf * (k1 + 1) / (tf + k1 * long)) @ block.weights, 6).T
+        s = np.where(s > 0 if met is None else met.T, s, -np.inf)
+        if len(pos) > k:
+            kth = np.partition(s, len(pos) - k, axis=1)[:, len(pos) - k]
+            s[s < kth[:, None]] = -np.inf  # more than k stay where they tie
+        q, c = np.nonzero(np.isfinite(s))
+        yield np.full(len(q), method), block.ids[q], pos[c], s[q, c]
+
+
+def _scanned(tokens: DataFrame, weighted: DataFrame, totals: DataFrame, k: int, k1s: tuple[float, ...], b: float) -> DataFrame:
+    """(method, query_id, pos, score): the best of each batch of chunks."""
+    kinds = weighted.schema["query_id"].dataType.simpleString(), tokens.schema["pos"].dataType.simpleString()
+    schema = f"method int, query_id {kinds[0]}, pos {kinds[1]}, score double"
+    one = totals.first()
+    blocks = _query_blocks(weighted.toArrow())
+    if one is None or not one["avgdl"] or not blocks:
+        return tokens.sparkSession.createDataFrame([], schema)
+    avgdl = float(one["avgdl"])
+    held = tokens.sparkSession.sparkContext.broadcast(blocks)
+
+    def fn(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK_BLOCK):
+                part = batch.slice(at, CHUNK_BLOCK)
+                lists, pos = part.column(1), part.column(0).to_numpy(zero_copy_only=False)
+                owner, size = np.asarray(pc.list_parent_indices(lists)).astype(np.int64), np.asarray(pc.list_value_length(lists)).astype(float)
+                flat = lists.flatten()
+                for block in held.value:
+                    for method, query, where, score in _best_of(block, pos, owner, size, flat, avgdl, k, k1s, b):
+                        yield pa.RecordBatch.from_arrays([pa.array(method, pa.int32()), pa.array(query), pa.array(where), pa.array(score)], names=["method", "query_id", "pos", "score"])
+
+    return tokens.mapInArrow(fn, schema)
+
+
+def ranked(corpus: DataFrame, queries: DataFrame, k: int, k1s: tuple[float, ...] = (K1,), b: float = B, epsilon: float = EPSILON) -> list[DataFrame]:
+    """(query_id, pos, score, rank) for each k1, from one scan of the chunks."""
+    tokens = tokenised(corpus)
+    terms, totals = term_statistics(tokens, epsilon)
+    asked = query_terms(queries)
+    weighted, small = sent_weights(asked, terms)
+    if not small:
+        index = build(corpus, only=asked.select("term"), epsilon=epsilon, keep=True)
+        return [top_k(score(index, asked, k1, b), k) for k1 in k1s]
+    best = _scanned(tokens.where("pos is not null"), weighted, totals, k, k1s, b)
+    order = Window.partitionBy("method", "query_id").orderBy(F.desc("score"), "pos")
+    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if len(k1s) > 1:
+        best = store.written(best)
+    return [best.where(F.col("method") == i).drop("method") for i in range(len(k1s))]
+
+
 def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     """The k best of each query; equal scores keep corpus order."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), "pos")
@@ -136,8 +239,35 @@ def search(index: Index, queries: DataFrame, k: int, k1: float = K1, b: float =
 
 def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B, padded: bool = False) -> DataFrame:
     """One batch of queries over a corpus (pos, text)."""
+    if not padded:
+        return ranked(corpus, queries, k, (k1,), b)[0]
     asked = query_terms(queries)
-    return search(build(corpus, only=asked.select("term")), queries, k, k1, b, padded)
+    return search(build(corpus, only=asked.select("term"), keep=True), queries, k, k1, b, padded)
+
+
+def topic_clusters(corpus: DataFrame, seeds: DataFrame, k: int = 40, oversample: int = 3, chars: int = 500, least: int = 100) -> DataFrame:
+    """(query_id, pos, score, rank): chunks like each seed chunk, itself left out.
+
+    The seed's first ``chars`` characters are the query; of its k * oversample
+    results those longer than ``least`` characters stay, the first k.  seeds is
+    (pos, text), a part of corpus.
+    """
+    asked = seeds.select(F.col("pos").alias("query_id"), F.substring("text", 1, chars).alias("text"))
+    long = corpus.where(F.length("text") > least).select("pos")
+    kept = bm25(corpus, asked, k * oversample).where("pos <> query_id").join(long, "pos", "left_semi")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= k)
+
+
+def sparse(postings: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, pos, score, rank): inner products of learned sparse vectors.
+
+    postings is (pos, term, weight), asked (query_id, term, weight), both from an
+    encoder of the caller's.
+    """
+    small = (asked.agg(F.sum(F.lit(64) + F.length("term"))).first()[0] or 0) <= MOST_SENT
+    own = asked.select("query_id", "term", F.col("weight").alias("__w"))
+    met = postings.join(F.broadcast(own) if small else own, "term")
+    return top_k(met.groupBy("query_id", "pos").agg(F.round(F.sum(F.col("weight") * F.col("__w")), 6).alias("score")), k)
 
 
 def rm3(index: Index, queries: DataFrame, k: int, feedback: int = 10, terms: int = 10, weight: float = 0.5, k1: float = K1, b: float = B) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,20 +44,46 @@ def verdicts(tasks: DataFrame, checked: DataFrame) -> DataFrame:
     return tasks.join(counts, "query_id", "left").select("query_id", "family", s.alias("supporting"), h.alias("negatives"), F.when(F.col("family") == "abstention", absent).otherwise(present).alias("status"))
 
 
-def verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
+MOST_SENT = 16 << 20  # characters of items in one automaton
+
+
+def verbatim(docs: DataFrame, items: DataFrame, most: int = MOST_SENT) -> DataFrame:
     """(query_id, doc_id) of documents that hold an item's text as it stands.
 
-    An item's longest inner word must stand in the document as a whole word, so
-    documents and items meet by an equi-join on it before texts are compared.
-    Items of fewer than three words meet all documents.
+    An Aho-Corasick automaton of the items goes over each document once, whatever
+    their number; nothing is joined, and only the pairs leave the scan.  Items of
+    more than ``most`` characters in all are taken in blocks, a scan each.  Empty
+    items are in no document.
     """
-    space = r"[ \t\n\x0B\f\r]+"
-    inner = F.slice(F.split("text", space), 2, F.greatest(F.size(F.split("text", space)) - 2, F.lit(0)))
-    longest = F.try_element_at(F.array_sort(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))
-    asked = items.where("text <> ''").select("query_id", F.col("text").alias("sought"), longest["w"].alias("word"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", space))).alias("word"))
-    near = words.join(asked.where("word is not null").select("query_id", "word"), "word").select("doc_id", "query_id")
-    held = docs.select("doc_id", "text")
-    found = near.join(held, "doc_id").join(asked.select("query_id", "sought"), "query_id").where(F.contains("text", "sought"))
-    short = held.join(asked.where("word is null"), F.contains("text", "sought"))
-    return found.select("query_id", "doc_id").unionByName(short.select("query_id", "doc_id")).distinct()
+    asked = items.where("text <> '' and query_id is not null").select("query_id", "text")
+    blocks = -(-(asked.agg(F.sum(F.length("text"))).first()[0] or 0) // most)
+    kinds = items.schema["query_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
+    schema, out = f"query_id {kinds[0]}, doc_id {kinds[1]}", None
+    for i in range(blocks):
+        found = docs.where("text is not null").select("doc_id", "text").mapInArrow(_holders(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()), schema)
+        out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out.distinct()
+
+
+def _holders(block: pa.Table):
+    """For each batch of documents (doc_id, text), the items each of them holds."""
+    ids, texts, kind = block["query_id"].to_pylist(), block["text"].to_pylist(), block.schema.field("query_id").type
+
+    def fn(batches):
+        owners: dict[str, list] = {}
+        for i, t in zip(ids, texts):
+            owners.setdefault(t, []).append(i)
+        auto = ahocorasick.Automaton()
+        for t in owners:
+            auto.add_word(t, t)
+        if owners:
+            auto.make_automaton()
+        for b in batches if owners else ():
+            query, doc = [], []
+            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for t in {t for _, t in auto.iter(text)}:
+                    query += owners[t]
+                    doc += [d] * len(owners[t])
+            yield pa.RecordBatch.from_arrays([pa.array(query, kind), pa.array(doc, b.column(0).type)], names=["query_id", "doc_id"])
+
+    return fn
