@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera import store
 from tessera.operators.graph import dice
 
 FEATURES = ["avg_pool_overlap", "bm25_n_retrieved", "n_constraints", "n_methods_agree_top1", "n_unique_top10", "query_length", "top1_agreement_rate"]
@@ -104,27 +105,44 @@ def folds(data: DataFrame, k: int = 5, key: str = "query_id", label: str = "labe
     return data.withColumn("fold", (F.row_number().over(w.orderBy(dice(key), key)) - 1) % k)
 
 
-def cross_validated(data: DataFrame, k: int = 5, trees: int = 100, depth: int = 3, rate: float = 0.1, least: int = 5, seed: int = 42) -> tuple[DataFrame, dict[str, float]]:
-    """((query_id, label, score), importance by feature, largest first).
+def _classifier(trees: int, depth: int, rate: float, least: int, seed: int):
+    from pyspark.ml.classification import GBTClassifier
+
+    return GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, minInstancesPerNode=least, seed=seed)
+
+
+def _assembled(data: DataFrame) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(data)
+
+
+def out_of_fold(data: DataFrame, k: int = 5, trees: int = 100, depth: int = 3, rate: float = 0.1, least: int = 5, seed: int = 42) -> DataFrame:
+    """(query_id, label, score): each row scored by a fit on the other folds.
 
-    Scores are out of fold; the importances come from a fit on all rows.
     Each fold's fit is a distributed job of its own.
     """
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    from tessera import store
-
-    parts = store.written(folds(data, k))
-    parts = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(parts)
-    gbt = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, minInstancesPerNode=least, seed=seed)
-    out = None
+    parts = _assembled(store.written(folds(data, k)))
+    gbt, out = _classifier(trees, depth, rate, least, seed), None
     for f in sorted(r["fold"] for r in parts.select("fold").distinct().collect()):
         train = parts.where(F.col("fold") != f)
         if not train.take(1):
             train = parts
         one = gbt.fit(train).transform(parts.where(F.col("fold") == f)).select("query_id", "label", vector_to_array("probability")[1].alias("score"))
         out = one if out is None else out.unionByName(one)
-    every = gbt.fit(parts).featureImportances.toArray()
-    return out, dict(sorted(zip(FEATURES, every.tolist()), key=lambda x: -x[1]))
+    return out
+
+
+def importances(data: DataFrame, trees: int = 100, depth: int = 3, rate: float = 0.1, least: int = 5, seed: int = 42) -> DataFrame:
+    """(feature, importance, rank) from a fit on all rows; they sum to 1."""
+    every = _classifier(trees, depth, rate, least, seed).fit(_assembled(store.written(data))).featureImportances.toArray().tolist()
+    rows = sorted(zip(FEATURES, every), key=lambda x: -x[1])
+    return data.sparkSession.createDataFrame([(f, float(x), i + 1) for i, (f, x) in enumerate(rows)], "feature string, importance double, rank int")
+
+
+def cross_validated(data: DataFrame, k: int = 5, **parameters) -> tuple[DataFrame, dict[str, float]]:
+    """(out-of-fold scores, importance by feature, largest first)."""
+    weights = importances(data, **parameters)
+    return out_of_fold(data, k, **parameters), {r["feature"]: r["importance"] for r in weights.orderBy("rank").collect()}

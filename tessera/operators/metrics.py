@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera import store
+
 CUTS = (5, 10, 20)
 
 
@@ -58,15 +60,21 @@ def bootstrap(scores: DataFrame, a: str, b: str, metric: str, rounds: int = 1000
     """(mean_difference, low, high, p, rounds): paired bootstrap of a minus b.
 
     Each round draws as many queries as there are, with replacement; draw i of
-    round r is the query whose number is a hash of (seed, r, i).
+    round r is the query whose number is the first 32 bits of the MD5 of
+    'seed:r:i', modulo their count.
     """
     wide = scores.where(F.col("method").isin(a, b)).groupBy("query_id").agg(F.max(F.when(F.col("method") == a, F.col(metric))).alias("x"), F.max(F.when(F.col("method") == b, F.col(metric))).alias("y")).where("x is not null and y is not null")
-    one = Window.partitionBy(F.lit(0))
-    d = wide.select((F.col("x") - F.col("y")).alias("d"), (F.row_number().over(one.orderBy("query_id")) - 1).alias("at"), F.count("*").over(one).alias("n"))
-    draws = d.select("at", "n").withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).select("round", F.pmod(F.xxhash64(F.lit(seed), "round", "at"), F.col("n")).alias("at"))
-    means = draws.join(d.select("at", "d"), "at").groupBy("round").agg(F.avg("d").alias("m"))
-    observed = d.agg(F.avg("d").alias("mean_difference"))
-    ci = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("m") <= 0).cast("double")), F.avg((F.col("m") >= 0).cast("double")))).alias("p"))
+    one = Window.partitionBy(F.lit(0))  # one number a query
+    d = store.written(wide.select((F.col("x") - F.col("y")).alias("d"), (F.row_number().over(one.orderBy("query_id")) - 1).cast("long").alias("at")))
+    n = d.count()
+    if not n:
+        return d.select(F.col("d").alias("mean_difference"), *(F.col("d").alias(c) for c in ("low", "high", "p")), F.lit(rounds).alias("rounds"))
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col("at").cast("string"))), 1, 8), 16, 10).cast("long")
+    draws = d.select("at").withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).select("round", (bits % n).alias("at"))
+    means = draws.join(d, "at").groupBy("round").agg(F.avg("d").alias("m"))
+    observed = d.agg(F.round(F.avg("d"), 6).alias("mean_difference"))
+    tail = lambda c: F.avg(c.cast("double"))
+    ci = means.agg(F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"), F.round(F.least(F.lit(1.0), 2 * F.least(tail(F.round("m", 12) <= 0), tail(F.round("m", 12) >= 0))), 6).alias("p"))
     return observed.crossJoin(ci).withColumn("rounds", F.lit(rounds))
 
 

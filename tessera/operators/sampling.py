@@ -43,6 +43,12 @@ def quota(shares: DataFrame, total: int, rule: str = "floor2") -> DataFrame:
     return base.select("family", (F.col("n") + (F.col("at") <= F.col("short")).cast("int")).alias("n"))
 
 
+def quota_left(wanted: DataFrame, existing: DataFrame, key: str = "family") -> DataFrame:
+    """(family, n): each family's quota less the rows it already has, at least 0."""
+    have = existing.groupBy(key).agg(F.count("*").alias("__have"))
+    return wanted.join(have, key, "left").select(key, F.greatest(F.lit(0), F.col("n") - F.coalesce("__have", F.lit(0))).cast("int").alias("n"))
+
+
 def seed_sample(docs: DataFrame, n: int, full: str = "has_fulltext", share: float = 0.7, key: str = "doc_id", seed: int = SEED) -> DataFrame:
     """n documents, ``share`` of them with full text, the rest without."""
     m = int(n * share)

@@ -6,40 +6,17 @@ benchmark for tasks, orders and lineitem for dated records and citations.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera import schema
+from tessera import schema, store
 from tessera.functions import text as T
 from tessera.operators import abstention, agent, corpus, dense, filters, fusion, generate, graph, lexical, metrics, sampling, verify
 from tessera.plans import sql
+from tessera.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from tessera.plans.registry import table as _t
 from tessera.sources import export, records
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(statement: str | None = None):
-    def take(fn):
-        QUERIES[fn.__name__] = lambda spark, d: _long(fn(spark, d))
-        if statement:
-            ORACLE_SQL[fn.__name__] = statement
-        return fn
-
-    return take
-
-
-def _long(df: DataFrame) -> DataFrame:
-    """Whole numbers as 64 bits, as the statements give them."""
-    return df.select(*(F.col(c).cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes))
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 def _chunks(spark, d) -> DataFrame:
     return _t(spark, d, "documents").select(F.col("doc_id").alias("pos"), "text", F.col("source").alias("doc_id"))
 
@@ -48,22 +25,17 @@ def _items(spark, d) -> DataFrame:
     return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _index(spark, d, queries: DataFrame | None = None) -> lexical.Index:
-    queries = _items(spark, d) if queries is None else queries
-    return lexical.build(_chunks(spark, d), only=lexical.query_terms(queries).select("term"), keep=True)
-
-
 def _gold(spark, d) -> DataFrame:
-    return verify.verbatim(_t(spark, d, "documents").select("doc_id", "text"), _items(spark, d))
+    """Read by several parts of a plan, so written once."""
+    return store.written(verify.verbatim(_t(spark, d, "documents").select("doc_id", "text"), _items(spark, d)))
 
 
 def _runs(spark, d, k: int = 20) -> DataFrame:
-    """Two methods, BM25 with either published k1; one index for both."""
-    index, items = _index(spark, d), _items(spark, d)
-    asked = lexical.query_terms(items)
-    out = None
-    for name, k1 in (("bm25", 1.5), ("bm25_k12", 1.2)):
-        one = lexical.top_k(lexical.score(index, asked, k1), k).select(F.lit(name).alias("method"), "query_id", "rank", F.col("pos").alias("doc_id"))
+    """Two methods, BM25 with either published k1, from one scan of the chunks."""
+    items, out = _items(spark, d), None
+    lists = lexical.ranked(_chunks(spark, d), items, k, (1.5, 1.2))
+    for name, one in zip(("bm25", "bm25_k12"), lists):
+        one = one.select(F.lit(name).alias("method"), "query_id", "rank", F.col("pos").alias("doc_id"))
         one = items.select("query_id").withColumn("method", F.lit(name)).join(one, ["method", "query_id"], "left").select("method", "query_id", F.coalesce("rank", F.lit(1)).alias("rank"), "doc_id")
         out = one if out is None else out.unionByName(one)
     return out
@@ -119,7 +91,13 @@ def family_metrics(spark, d):
     return metrics.family_metrics(*_scores(spark, d))
 
 
-@query()
+_DRAWS = """d AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS place, x - y AS d FROM (SELECT query_id, max(ndcg) FILTER (method = 'bm25') AS x, max(ndcg) FILTER (method = 'bm25_k12') AS y FROM per GROUP BY query_id) WHERE x IS NOT NULL AND y IS NOT NULL),
+draws AS (SELECT r, ('0x' || substr(md5('42:' || r || ':' || place), 1, 8))::BIGINT % (SELECT count(*) FROM d) AS place FROM d, range(1, 1001) t(r)),
+means AS (SELECT r, avg(d) AS m FROM draws JOIN d USING (place) GROUP BY r)"""
+
+
+@query(sql.statement(*_RUN, sql.GOLD, sql.METRICS, _DRAWS, select="""SELECT (SELECT round(avg(d), 6) FROM d) AS mean_difference, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high,
+round(least(1.0, 2 * least(avg((round(m, 12) <= 0)::INTEGER), avg((round(m, 12) >= 0)::INTEGER))), 6) AS p, 1000::BIGINT AS rounds FROM means"""))
 def bootstrap_ci(spark, d):
     scores, _ = _scores(spark, d)
     return metrics.bootstrap(scores, "bm25", "bm25_k12", "ndcg")
@@ -183,7 +161,15 @@ def bm25_published_k1(spark, d):
     return lexical.bm25(_chunks(spark, d), _items(spark, d), 10, k1=1.2).select("query_id", F.col("pos").alias("doc_id"), "score", "rank")
 
 
-@query()
+_RM3 = [sql.CORPUS, sql.asked(), sql.scored(), sql.top("first", "scored", 10),
+        "share AS (SELECT query_id, doc_id, score / sum(score) OVER (PARTITION BY query_id) AS share FROM first WHERE score > 0)",
+        "model AS (SELECT query_id, term, sum(share * tf / dl) AS p FROM share JOIN post USING (doc_id) JOIN lens USING (doc_id) GROUP BY ALL)",
+        "chosen AS (SELECT query_id, term, p / sum(p) OVER (PARTITION BY query_id) AS p FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 9) DESC, term) AS n FROM model) WHERE n <= 10)",
+        "mixed AS (SELECT query_id, term, sum(w) AS qtf FROM (SELECT query_id, term, 0.5 * qtf / sum(qtf) OVER (PARTITION BY query_id) AS w FROM asked UNION ALL SELECT query_id, term, 0.5 * p FROM chosen) GROUP BY ALL)",
+        sql.scored("wide", terms="mixed"), sql.top("best", "wide", 10)]
+
+
+@query(sql.statement(*_RM3, select="SELECT query_id, doc_id, score, rank FROM best"))
 def rm3_topk(spark, d):
     index = lexical.build(_chunks(spark, d), keep=True)
     return lexical.rm3(index, _items(spark, d), 10).select("query_id", F.col("pos").alias("doc_id"), "score", "rank")
@@ -191,14 +177,13 @@ def rm3_topk(spark, d):
 
 @query(sql.statement(sql.CORPUS, sql.asked(), sql.scored(), sql.top("best", "scored", 50), "placed AS (SELECT b.*, source FROM best b JOIN lens USING (doc_id))", sql.dedup("one", "placed", 10), select="SELECT query_id, source, doc_id, score, rank FROM one"))
 def chunk_first_dedup(spark, d):
-    ranked = lexical.search(_index(spark, d), _items(spark, d), 50).join(_chunks(spark, d).select("pos", "doc_id"), "pos")
+    ranked = lexical.bm25(_chunks(spark, d), _items(spark, d), 50).join(_chunks(spark, d).select("pos", "doc_id"), "pos")
     return fusion.first_per_document(ranked, 10).select("query_id", F.col("doc_id").alias("source"), F.col("pos").alias("doc_id"), "score", "rank")
 
 
 def _two_lists(spark, d, k):
-    index, asked = _index(spark, d), lexical.query_terms(_items(spark, d))
     names = _chunks(spark, d).select("pos", "doc_id")
-    return [lexical.top_k(lexical.score(index, asked, k1), k).join(names, "pos") for k1 in (1.5, 1.2)]
+    return [x.join(names, "pos") for x in lexical.ranked(_chunks(spark, d), _items(spark, d), k, (1.5, 1.2))]
 
 
 @query(sql.statement(*_TWO, sql.top("top_a", "sc_a", 50), sql.top("top_b", "sc_b", 50), sql.fused("both_", ["top_a", "top_b"], "doc_id", 50), "placed AS (SELECT b.*, source FROM both_ b JOIN lens USING (doc_id))", sql.dedup("one", "placed", 10), select="SELECT query_id, source, doc_id, score, rank FROM one"))
@@ -211,16 +196,14 @@ def rrf_doc(spark, d):
     return fusion.hybrid_documents(_two_lists(spark, d, 90), 10).select("query_id", F.col("doc_id").alias("source"), "score", "rank")
 
 
-_SEEDS = "SELECT doc_id AS query_id, substr(text, 1, 500) AS text FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY md5('42:' || doc_id), doc_id) AS n FROM documents WHERE length(text) > 100) WHERE n <= 1"
+_SEEDS = "SELECT doc_id AS query_id, substr(text, 1, 500) AS text FROM documents WHERE doc_id % 50 = 0 AND length(text) > 100"
 
 
 @query(sql.statement(sql.CORPUS, f"seeds AS ({_SEEDS})", sql.asked("SELECT * FROM seeds"), sql.scored(), sql.top("best", "scored", 120), "kept AS (SELECT b.query_id, b.doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM best b JOIN documents d ON b.doc_id = d.doc_id WHERE b.doc_id <> b.query_id AND length(d.text) > 100)", select="SELECT query_id, doc_id, score, rank FROM kept WHERE rank <= 40"))
 def self_retrieval_cluster(spark, d):
-    docs = _t(spark, d, "documents")
-    seeds = sampling.group_sample(docs.where(F.length("text") > 100), ["source", "lang"], 1).select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 500).alias("text"))
-    found = lexical.bm25(_chunks(spark, d), seeds, 120).withColumnRenamed("pos", "d_id")
-    kept = found.where("d_id <> query_id").join(docs.where(F.length("text") > 100).select(F.col("doc_id").alias("d_id")), "d_id", "left_semi")
-    return fusion.first_per_document(kept, 40, "d_id").select("query_id", F.col("d_id").alias("doc_id"), "score", "rank")
+    """The queries are the documents whose id is divisible by 50, against all."""
+    seeds = _chunks(spark, d).where((F.col("pos") % 50 == 0) & (F.length("text") > 100))
+    return lexical.topic_clusters(_chunks(spark, d), seeds).select("query_id", F.col("pos").alias("doc_id"), "score", "rank")
 
 
 @query("SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE regexp_matches(text, '(?i)licen[cs]e') ORDER BY doc_id LIMIT 20")
@@ -457,9 +440,9 @@ def venue_histogram(spark, d):
     return corpus.histogram(_t(spark, d, "documents"), "source", 20)
 
 
-@query("SELECT value, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS percent FROM (SELECT unnest([event_type, json_extract_string(props, '$.page')]) AS value FROM events) GROUP BY value ORDER BY n DESC, value LIMIT 50")
+@query("SELECT value, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS percent FROM (SELECT unnest([event_type, json_extract_string(props, '$.k')]) AS value FROM events) GROUP BY value ORDER BY n DESC, value LIMIT 50")
 def exploded_counts(spark, d):
-    e = _t(spark, d, "events").select(F.array("event_type", F.get_json_object("props", "$.page")).alias("items"))
+    e = _t(spark, d, "events").select(F.array("event_type", F.get_json_object("props", "$.k")).alias("items"))
     return corpus.exploded_histogram(e, "items", 50)
 
 
@@ -498,11 +481,11 @@ def inverted_index_rebuild(spark, d):
     return maps.select("doc_id", F.md5(T.text_of_inverted_index("index")).alias("text_md5"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.page') AS page FROM events")
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_extraction(spark, d):
     """An object inside prose, as models reply."""
     reply = F.concat(F.lit("Here it is: "), F.col("props"), F.lit(" Done."))
-    return _t(spark, d, "events").select("event_id", F.get_json_object(T.json_object(reply), "$.page").alias("page"))
+    return _t(spark, d, "events").select("event_id", F.get_json_object(T.json_object(reply), "$.k").alias("k"))
 
 
 @query(r"SELECT conv_id, turn, array_to_string(list_slice(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\d+'), lambda x: try_cast(x AS INTEGER)), lambda x: x BETWEEN 1 AND 25))), 1, 15), ',') AS chosen FROM conversations")
@@ -635,7 +618,12 @@ def abstention_features(spark, d):
 
 @query()
 def gbt_abstention(spark, d):
-    return abstention.cross_validated(_features(spark, d))[0]
+    return abstention.out_of_fold(_features(spark, d))
+
+
+@query()
+def gbt_importance(spark, d):
+    return abstention.importances(_features(spark, d))
 
 
 _LABELLED = "lab AS (SELECT toxic AS label, round((n_chars % 997) / 997.0, 4) AS score FROM documents JOIN labels USING (doc_id))"
@@ -724,3 +712,6 @@ def task_generation(spark, d):
     clusters = prompts.select("task_id", F.when(F.col("task_id").endswith("1"), "abstention").otherwise("multihop").alias("task_family"), F.lit("hard").alias("difficulty"), "doc_ids")
     t = generate.tasks_from_replies(replies, clusters, "grounded")
     return t.select("task_id", F.col("cluster_size").cast("long").alias("n_docs"), F.size("supporting_doc_ids").cast("long").alias("n_gold"))
+
+
+from tessera.plans import connectors, evaluation  # noqa: E402, F401 - they add their queries

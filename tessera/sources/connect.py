@@ -10,9 +10,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import store
+
 
 class Pace:
     """Sleeps so that calls are at least 1 / per_second apart."""
@@ -51,6 +53,47 @@ def fetch_new(keys: DataFrame, done: DataFrame, key: str, fetcher: Callable[[lis
     return fetch(keys.join(done.select(key).distinct(), key, "left_anti"), key, fetcher, **how)
 
 
+def lookup_path(kind: str, value: Column | str) -> Column:
+    """Path of one record by its 'doi' (bare or as a URL), 'pmid' or 'pmcid'."""
+    value = F.col(value) if isinstance(value, str) else value
+    bare = F.regexp_replace(value, r"^https?://(dx\.)?doi\.org/", "") if kind == "doi" else value
+    return F.concat(F.lit(f"/works/{kind}:"), bare)
+
+
+def lookup(keys: DataFrame, key: str, field: str, fetcher: Callable[[str], list[str]], key_of: Callable[[str], str | None], batch: int = 50, per_second: float = 10.0, streams: int = 1) -> DataFrame:
+    """(key, payload): records of many keys by one filter 'field:a|b|c' a request.
+
+    Records come back in any order and without some; ``key_of`` reads a record's
+    own key, and the last record of a key counts.
+    """
+
+    def answer(part: list[str]) -> dict:
+        return {key_of(x): x for x in fetcher(f"{field}:{'|'.join(part)}")}
+
+    return fetch(keys, key, answer, batch, per_second, streams)
+
+
+def save_texts(found: DataFrame, done: DataFrame, key: str, path: str, suffix: str = "xml") -> DataFrame:
+    """Writes one file for each new key, as ``path/<key>=<id>``, and gives the log
+    (key, status, n_chars): 'saved', 'exists' or 'missing'.
+
+    found is (key, payload) as ``fetch`` gives it, done (key) what is there.
+    """
+    there = done.select(key).distinct().withColumn("__there", F.lit(True))
+    log = store.written(found.select(key, "payload").join(there, key, "left"))
+    fresh = log.where("payload is not null and __there is null")
+    fresh.select(key, F.col("payload").alias("value")).write.mode("append").partitionBy(key).option("lineSep", "\n").text(f"{path}/{suffix}")
+    status = F.when(F.col("__there"), "exists").when(F.col("payload").isNull(), "missing").otherwise("saved")
+    return log.select(key, status.alias("status"), F.when(status == "saved", F.length("payload")).otherwise(0).alias("n_chars"))
+
+
+def write_traces(trace: DataFrame, path: str, key: str = "query_id") -> None:
+    """One JSON object a task: its rounds in order, each with all other columns."""
+    rest = [c for c in trace.columns if c not in (key, "round")]
+    rounds = F.array_sort(F.collect_list(F.struct("round", *rest)))
+    trace.groupBy(key).agg(rounds.alias("rounds")).withColumn("task", F.col(key)).write.mode("overwrite").partitionBy("task").json(path)
+
+
 def pages(first: str, page: Callable[[str, str | None], tuple[list, str | None]], most: int) -> Iterator[str]:
     """Results of a cursor-paged search, in order, at most ``most``."""
     cursor, n = None, 0

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from tessera.plans import queries as library
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"gbt_abstention"}  # 11 fits of a model
+SLOW = {"gbt_abstention", "gbt_importance"}  # fits of 100 trees; see test_abstention_query
 
 
 @pytest.fixture(scope="module")
