@@ -31,7 +31,9 @@ def imported(folder: Path) -> subprocess.CompletedProcess:
 
 
 def test_without_the_training_data_operators(tmp_path):
-    got = imported(copied(tmp_path, "tessera/llm", "corpus_pipeline.py"))
+    folder = copied(tmp_path, "tessera/llm", "corpus_pipeline.py")
+    (folder / "tessera" / "llm" / "__pycache__").mkdir(parents=True)  # what a deletion may leave
+    got = imported(folder)
     assert got.returncode == 0, got.stderr
     assert "bm25_topk" in got.stdout and "op1_" not in got.stdout and "'pipeline'" not in got.stdout
 
@@ -39,4 +41,4 @@ def test_without_the_training_data_operators(tmp_path):
 @pytest.mark.skipif(not HAS_LLM, reason="the training-data operators are absent")
 def test_a_missing_part_of_them_is_an_error(tmp_path):
     got = imported(copied(tmp_path, "tessera/llm/kernel.py"))
-    assert got.returncode != 0 and "tessera.llm.kernel" in got.stderr
+    assert got.returncode != 0 and "kernel" in got.stderr
