@@ -246,3 +246,32 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataF
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(counts(texts, sent.value))], names=["doc_id", "n_tokens"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(kernel.per_slice(fn), "doc_id long, n_tokens long")
+
+
+def oracle_sql(vocabulary: Vocabulary | None = None) -> str:
+    """The query on ``documents`` in DuckDB's SQL: a recursive CTE goes over the
+    distinct words of all texts at once, a character a step.
+
+    For vocabularies with byte fallback whose inner blanks follow blanks only, as
+    in ``VOCABULARY``: words then begin at blanks after other characters.
+    """
+    vocabulary = vocabulary or read_vocabulary()
+    inner = vocabulary.built()[5]
+    if not vocabulary.byte_fallback or set(inner.tolist()) > {ord(BLANK)}:
+        raise ValueError("no statement for this vocabulary")
+    rows = ",".join("('" + p.replace("'", "''") + f"',{s!r})" for p, s in zip(vocabulary.pieces[1:], vocabulary.scores[1:]))
+    unknown = min(vocabulary.scores) - _PENALTY
+    longest = max(map(len, vocabulary.pieces))
+    return f"""
+WITH RECURSIVE v(piece, gain) AS (VALUES {rows}),
+d AS MATERIALIZED (SELECT row_number() OVER () AS owner, doc_id::BIGINT AS doc_id, CASE WHEN text <> '' THEN regexp_extract_all('{BLANK}' || replace(text, ' ', '{BLANK}'), '(?s){BLANK}+[^{BLANK}]*') END AS parts FROM documents),
+held AS MATERIALIZED (SELECT owner, word, count(*) AS times FROM (SELECT owner, unnest(parts) AS word FROM d) GROUP BY ALL),
+words AS MATERIALIZED (SELECT word, length(word) AS size FROM held GROUP BY ALL),
+places AS MATERIALIZED (SELECT word, size, unnest(range(size)) AS b FROM words),
+met AS MATERIALIZED (SELECT word, b, b + n AS e, gain, 1 AS many FROM (SELECT word, b, n, substr(word, b + 1, n) AS piece FROM (SELECT word, b, unnest(range(1, least({longest}, size - b) + 1)) AS n FROM places)) JOIN v USING (piece)
+  UNION ALL SELECT word, b, b + 1, {unknown!r}, strlen(substr(word, b + 1, 1)) FROM places ANTI JOIN v ON v.piece = substr(word, b + 1, 1)),
+path AS (SELECT word, size, 0 AS done, [0.0::DOUBLE] AS best, [0::BIGINT] AS n FROM words
+  UNION ALL SELECT p.word, any_value(size), p.done + 1, list_append(any_value(best), max(best[b + 1] + gain)), list_append(any_value(n), arg_max(n[b + 1] + many, {{'score': best[b + 1] + gain, 'first': -b}}))
+  FROM path p JOIN met m ON m.word = p.word AND m.e = p.done + 1 WHERE p.done < p.size GROUP BY p.word, p.done),
+counted AS (SELECT word, n[-1] AS n FROM path WHERE done = size)
+SELECT doc_id, coalesce(total, 0)::BIGINT AS n_tokens FROM d LEFT JOIN (SELECT owner, sum(times * n) AS total FROM held JOIN counted USING (word) GROUP BY owner) USING (owner)"""

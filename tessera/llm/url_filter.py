@@ -6,7 +6,7 @@ fitted on a small labelled table of URLs, by default ``labelled_urls.tsv``, whic
 lists known sites of both kinds; hosts that aren't in it are judged by the parts
 of their names.
 
-Defined results: the scheme, user part, port, query and fragment are not read;
+Defined results: scores are rounded to nine places.  The scheme, user part, port, query and fragment are not read;
 case doesn't matter.  A null or empty URL has only the intercept's score, capped
 below one half, and is never blocked.  With labels of one class nothing is
 blocked and every score is 0.  Each input row gives one output row; a null
@@ -28,6 +28,7 @@ from tessera.llm import kernel
 BITS = 16
 ORDERS = (3, 4, 5)
 PRIOR = 0.2
+PLACES = 9
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _URL = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/@?#]*@)?([^/:?#]*)(?::\d*)?([^?#]*)", re.I | re.S)
 
@@ -99,7 +100,7 @@ def scores(urls: list, model: Model | None) -> np.ndarray:
     row, col = features(urls)
     norm = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(urls)), 1))
     total = np.bincount(row, model.weights[col] * norm[row], minlength=len(urls)) + model.intercept
-    return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
+    return np.round(1 / (1 + np.exp(-np.clip(total, -40, 40))), PLACES)
 
 
 def score(pages: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
@@ -110,3 +111,31 @@ def score(pages: DataFrame, model: Model | None, threshold: float = 0.5) -> Data
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array(p >= threshold)], names=["page_id", "score", "blocked"])
 
     return pages.selectExpr("cast(page_id as long) page_id", "url").mapInArrow(kernel.per_slice(fn, "url"), "page_id long, score double, blocked boolean")
+
+
+def oracle_sql(model: Model | None = None) -> str:
+    """Features and scores of ``pages`` in DuckDB's SQL, with the fitted weights."""
+    model = model or fit(labelled_urls())
+    weights = ",".join(f"({i},{float(model.weights[i])!r})" for i in np.flatnonzero(model.weights))
+    wide = lambda x: f"(({x}) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    url = r"'(?s)^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/@?#]*@)?([^/:?#]*)(?::\d*)?([^?#]*)'"
+    low = r"regexp_replace(lower(coalesce(url, '')), '^\s+|\s+$', '', 'g')"
+    steps, last = [], "g1"
+    for i in range(2, max(ORDERS) + 1):
+        steps.append(f"g{i} AS (SELECT owner, half, g, n, CASE WHEN n >= {i} THEN {wide(f'h::UHUGEINT * {int(_MULTIPLIER)}::UHUGEINT + unicode(g[{i}])::UHUGEINT')} ELSE h END AS h FROM {last})")
+        last = f"g{i}"
+    steps.append(f"m0 AS (SELECT owner, half, {wide('h::UHUGEINT + n::UHUGEINT')} AS h FROM {last})")
+    for i, m in enumerate((0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)):
+        steps.append(f"m{i + 1} AS (SELECT owner, half, {wide(f'xor(h, h >> 33)::UHUGEINT * {m}::UHUGEINT')} AS h FROM m{i})")
+    chain = ",\n".join(steps)
+    return f"""
+WITH w(feature, weight) AS (VALUES {weights}),
+d AS MATERIALIZED (SELECT row_number() OVER () AS owner, page_id::BIGINT AS page_id, regexp_extract({low}, {url}, 1) AS host, regexp_extract({low}, {url}, 2) AS path FROM pages),
+texts AS (SELECT owner, 0 AS half, '^' || host || '$' AS t FROM d WHERE host <> '' UNION ALL SELECT owner, 1, path || '$' FROM d WHERE path <> ''),
+cut AS (SELECT owner, half, n, substr(t, i, n) AS g FROM (SELECT owner, half, t, n, unnest(range(1, length(t) - n + 2)) AS i FROM (SELECT *, unnest({list(ORDERS)}) AS n FROM texts) WHERE length(t) >= n)),
+g1 AS (SELECT owner, half, g, n, unicode(g[1])::UBIGINT AS h FROM (SELECT DISTINCT owner, half, g, n FROM cut)),
+{chain},
+features AS (SELECT DISTINCT owner, half * {1 << (BITS - 1)} + (xor(h, h >> 33) >> {65 - BITS})::BIGINT AS feature FROM m2),
+total AS (SELECT owner, coalesce(sum(weight), 0) / sqrt(count(*)) AS s FROM features LEFT JOIN w USING (feature) GROUP BY owner),
+scored AS (SELECT page_id, round(1 / (1 + exp(-greatest(-40, least(40, coalesce(s, 0) + {float(model.intercept)!r})))), {PLACES}) AS score FROM d LEFT JOIN total USING (owner))
+SELECT page_id, score, score >= 0.5 AS blocked FROM scored"""
