@@ -465,12 +465,17 @@ def compose_text(spark, d):
 
 
 _HEADS = ["Introduction", " background ", "Materials and Methods", "Material & method", "STATISTICAL METHODS", "Results", "Results and Discussion", "Findings", "Concluding remarks", "Study design", "Acknowledgements", ""]
+_WHOLE = ["introduction", "introduction", "methods", "methods", "other", "results", "results_discussion", "results", "conclusion", "methods", "other", "other"]
+_PART = ["introduction", "introduction", "methods", "methods", "methods", "results", "results", "results", "other", "other", "other", "other"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{h}', '{a}', '{b}')" for h, a, b in zip(_HEADS, ["introduction", "introduction", "methods", "methods", "other", "results", "results_discussion", "results", "conclusion", "methods", "other", "other"], ["introduction", "introduction", "methods", "methods", "methods", "results", "results", "results", "other", "other", "other", "other"])) + ") t(heading, whole, part)")
+@query(f"SELECT doc_id, ({_WHOLE})[doc_id % 12 + 1] AS whole, ({_PART})[doc_id % 12 + 1] AS part FROM documents UNION ALL SELECT -doc_id - 1, 'other', CASE WHEN regexp_matches(lower(h), 'introduction|background') THEN 'introduction' WHEN regexp_matches(lower(h), 'method|material|procedure') THEN 'methods' WHEN regexp_matches(lower(h), 'result|finding') THEN 'results' WHEN regexp_matches(lower(h), 'discussion|interpretation') THEN 'discussion' WHEN regexp_matches(lower(h), 'conclusion|summary') THEN 'conclusion' ELSE 'other' END FROM (SELECT doc_id, source || ' ' || text AS h FROM documents)")
 def section_class(spark, d):
-    h = spark.createDataFrame([(x,) for x in _HEADS], "heading string")
-    return h.select("heading", T.section_type("heading").alias("whole"), T.section_type_by_part("heading").alias("part"))
+    """Known headings over all documents, and whole texts as headings."""
+    docs = _t(spark, d, "documents")
+    known = F.element_at(F.array(*[F.lit(h) for h in _HEADS]), (F.col("doc_id") % 12 + 1).cast("int"))
+    heads = docs.select("doc_id", known.alias("heading")).unionByName(docs.select((-F.col("doc_id") - 1).alias("doc_id"), F.concat_ws(" ", "source", "text").alias("heading")))
+    return heads.select("doc_id", T.section_type("heading").alias("whole"), T.section_type_by_part("heading").alias("part"))
 
 
 @query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
@@ -495,28 +500,41 @@ def numbered_choices(spark, d):
 
 # ---- parsing ----
 
-_PLAIN = r"regexp_replace(text, '[^A-Za-z0-9 .,]', ' ', 'g')"
-_TIDY = rf"regexp_replace(trim(regexp_replace({_PLAIN}, '\s+', ' ', 'g')), ' +([.,;:!?])', '\1', 'g')"
+_TIDY = r"regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), ' +([.,;:!?])', '\1', 'g')"
+_STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 
 
-def _plain():
-    return F.regexp_replace("text", r"[^A-Za-z0-9 .,]", " ")
+def _escaped(column: str = "text"):
+    """Whole texts as XML character data."""
+    out = F.col(column)
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(mark), F.lit(entity))
+    return out
 
 
-@query(rf"SELECT doc_id, source AS title, CASE WHEN length(t) > 20 THEN 1::BIGINT WHEN length('Methods ' || t) > 50 THEN 1 ELSE 0 END AS section_count, CASE WHEN length(t) > 20 THEN md5(t) END AS text_md5, length(t) > 20 AS has_methods FROM (SELECT doc_id, source, {_TIDY} AS t FROM documents)")
+@query(f"""SELECT doc_id, source || ' & é' AS title, CASE WHEN length(t) > 20 THEN 2 ELSE 1 END::BIGINT AS section_count, CASE WHEN length(t) > 20 THEN md5(t) END AS text_md5, length(t) > 20 AS has_methods, 'Methods' AS above, 'Nested paragraph of ' || lang || ' text, [formula].' AS nested, 1::BIGINT AS figure_count, 1::BIGINT AS table_count,
+'Bars by ' || source || ' <b>.' AS caption, source || ' | ' || lang || ' | 1' AS cells, CASE WHEN length(t) > 20 THEN length(t) ELSE 0 END + 41 + length(lang) AS total_chars FROM (SELECT doc_id, source, lang, {_TIDY} AS t FROM documents)""".replace("41 + length(lang)", "length('Nested paragraph of  text, [formula].') + length(lang)"))
 def article_xml(spark, d):
-    xml = F.concat(F.lit("<article><front><article-title>"), F.col("source"), F.lit("</article-title></front><body><sec><title>Methods</title><p>"), _plain(), F.lit("</p></sec></body></article>"))
+    """Whole texts, with entities, mixed content, nested sections, a figure and a table."""
+    x = lambda s: F.lit(s)
+    xml = F.concat(x("<article><front><article-title>"), "source", x(" &amp; &#233;</article-title></front><body><sec><title>Methods</title><p>"), _escaped(), x("</p><sec><title>More</title><p>Nested <italic>paragraph</italic> of <bold>"), "lang", x("</bold> text<xref>, </xref><inline-formula>x=1</inline-formula>.</p></sec></sec><fig id=\"f1\"><label>Figure 1</label><caption><p>Bars by "), "source", x(" &lt;b> .</p></caption></fig><table-wrap id=\"t1\"><label>Table 1</label><caption><p>A caption of a table</p></caption><table><tr><td>"), "source", x("</td><td>"), "lang", x("</td><td>1</td></tr></table></table-wrap></body></article>"))
     parsed = records.articles(_t(spark, d, "documents").select("doc_id", xml.alias("xml")), "doc_id")
-    first = F.try_element_at("sections", F.lit(1))
-    return parsed.select(F.col("pmcid").alias("doc_id"), "title", "section_count", F.when(first["section_type"] == "methods", F.md5(first["text"])).alias("text_md5"), "has_methods")
+    first, last = F.try_element_at("sections", F.lit(1)), F.element_at("sections", -1)
+    return parsed.select(F.col("pmcid").alias("doc_id"), "title", "section_count", F.when(first["section_type"] == "methods", F.md5(first["text"])).alias("text_md5"), "has_methods", last["parent_heading"].alias("above"), last["text"].alias("nested"), "figure_count", "table_count", F.element_at("figure_captions", 1)["caption"].alias("caption"), F.element_at("table_texts", 1)["body_text"].alias("cells"), "total_chars")
 
 
-@query(rf"SELECT doc_id::VARCHAR AS pmid, source AS title, md5(CASE WHEN trim(p) = '' THEN 'AIM: ' ELSE 'AIM: ' || trim(p) END) AS abstract_md5, 1990 + doc_id % 30 AS year, lang || ',' || lang || '/' || source AS mesh FROM (SELECT doc_id, source, lang, {_PLAIN} AS p FROM documents)")
+@query(f"""SELECT doc_id::VARCHAR AS pmid, source || ' < é' AS title, md5('AIM: ' || {_STRIPPED} || ' Said plainly.') AS abstract_md5, CASE WHEN doc_id % 3 = 0 THEN -1 ELSE 1990 + doc_id % 30 END AS year, lang || ',' || lang || '/' || source AS mesh, 'PMC' || doc_id AS pmcid, '10.1/' || doc_id AS doi, 'Ö' || lang || ', A|B' AS authors, 'Review' AS types, source AS keywords, 'J ' || lang AS venue FROM documents""")
 def record_xml(spark, d):
     x = lambda s: F.lit(s)
-    xml = F.concat(x("<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>"), F.col("doc_id").cast("string"), x("</PMID><Article><ArticleTitle>"), "source", x('</ArticleTitle><Abstract><AbstractText Label="AIM">'), _plain(), x("</AbstractText></Abstract><Journal><JournalIssue><PubDate><MedlineDate>"), (1990 + F.col("doc_id") % 30).cast("string"), x(" Jan</MedlineDate></PubDate></JournalIssue></Journal></Article><MeshHeadingList><MeshHeading><DescriptorName>"), "lang", x("</DescriptorName><QualifierName>"), "source", x("</QualifierName></MeshHeading></MeshHeadingList></MedlineCitation></PubmedArticle></PubmedArticleSet>"))
+    k = F.col("doc_id").cast("string")
+    date = F.when(F.col("doc_id") % 3 == 0, x("<Season>Spring</Season>")).when(F.col("doc_id") % 3 == 1, F.concat(x("<Year>"), (1990 + F.col("doc_id") % 30).cast("string"), x("</Year>"))).otherwise(F.concat(x("<MedlineDate>"), (1990 + F.col("doc_id") % 30).cast("string"), x(" Jan</MedlineDate>")))
+    xml = F.concat(
+        x("<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>"), k, x("</PMID><Article><ArticleTitle>"), "source", x(" &lt; &#xE9;</ArticleTitle><ELocationID EIdType=\"doi\">10.1/"), k, x('</ELocationID><Abstract><AbstractText Label="AIM">'), _escaped(), x("</AbstractText><AbstractText>Said <i>plainly</i>.</AbstractText></Abstract><AuthorList><Author><LastName>Ö"), "lang",
+        x("</LastName><ForeName>A</ForeName></Author><Author><LastName>B</LastName></Author><Author><ForeName>C</ForeName></Author></AuthorList><PublicationTypeList><PublicationType>Review</PublicationType></PublicationTypeList><Journal><Title>J "), "lang", x("</Title><JournalIssue><PubDate>"), date,
+        x("</PubDate></JournalIssue></Journal></Article><MeshHeadingList><MeshHeading><DescriptorName>"), "lang", x("</DescriptorName><QualifierName>"), "source", x("</QualifierName></MeshHeading></MeshHeadingList><KeywordList><Keyword>"), "source", x("</Keyword></KeywordList></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType=\"pmc\">PMC"), k, x("</ArticleId></ArticleIdList></PubmedData></PubmedArticle><PubmedArticle/></PubmedArticleSet>"),
+    )
     m = records.metadata(_t(spark, d, "documents").select(xml.alias("xml")))
-    return m.select("pmid", "title", F.md5("abstract").alias("abstract_md5"), F.col("year").cast("long").alias("year"), F.array_join("mesh_terms", ",").alias("mesh"))
+    return m.select("pmid", "title", F.md5("abstract").alias("abstract_md5"), F.coalesce("year", F.lit(-1)).cast("long").alias("year"), F.array_join("mesh_terms", ",").alias("mesh"), "pmcid", "doi", F.array_join("authors", "|").alias("authors"), F.array_join("publication_types", ",").alias("types"), F.array_join("keywords", ",").alias("keywords"), "venue")
 
 
 @query(r"""SELECT doc_id, length(t) >= 10 AS has_section, CASE WHEN length(t) >= 10 THEN md5(t) END AS text_md5, CASE WHEN length(t) >= 10 THEN length(text) ELSE 0 END AS total_chars FROM (SELECT doc_id, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)""")
