@@ -33,8 +33,8 @@ def _col(c: Column | str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-case runs of a-z, 0-9 and hyphens that are longer than one."""
-    words = F.split(F.regexp_replace(F.lower(_col(text)), r"[^a-z0-9\s-]", " "), r"\s+")
-    return F.coalesce(F.filter(words, lambda w: F.length(w) > 1), F.array().cast("array<string>"))
+    runs = F.regexp_extract_all(F.lower(_col(text)), F.lit(r"[a-z0-9-]{2,}"), 0)
+    return F.coalesce(runs, F.array().cast("array<string>"))
 
 
 def token_estimate(text: Column | str) -> Column:
