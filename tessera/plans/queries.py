@@ -732,4 +732,4 @@ def task_generation(spark, d):
     return t.select("task_id", F.col("cluster_size").cast("long").alias("n_docs"), F.size("supporting_doc_ids").cast("long").alias("n_gold"))
 
 
-from tessera.plans import connectors, evaluation  # noqa: E402, F401 - they add their queries
+from tessera.plans import connectors, evaluation, parsing  # noqa: E402, F401 - they add their queries
