@@ -52,5 +52,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir))
+        before, docs = docs, scratch.table(stage(spark, docs, sf_dir))
+        scratch.drop(before)  # only the written result is read from here on
     return docs
