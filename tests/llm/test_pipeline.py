@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline as C
+from tessera import store
 from tessera.llm import decontaminate, near_dedup, packing, quality, scratch, toxicity
 
 
@@ -42,7 +43,24 @@ def test_run_is_the_stages(spark, sf, stages):
 
 
 def test_stages_take_awkward_and_empty_tables(spark, sf, awkward, make_docs):
-    for docs in (awkward, make_docs([])):
-        for k, (_, stage) in enumerate(C.STAGES):
-            docs = scratch.table(stage(spark, docs, sf))
-        assert docs.columns[0] == "doc_id"
+    docs, kept = awkward, []
+    for _, stage in C.STAGES:
+        docs = scratch.table(stage(spark, docs, sf))
+        kept.append(sorted((r["doc_id"] for r in docs.select("doc_id").distinct().collect()), key=str))
+    assert kept[:2] == [[1, 2, 3, 4, 5, 6, 7, None]] * 2  # no label has one of these texts to learn from
+    assert kept[2:] == [[1, 2, 3, 4, 5, 7, None]] * 3
+    rows = docs.collect()
+    assert {r["doc_id"] for r in rows if r["bin_id"] is None} == {1, 2} and sum(r["doc_id"] == 5 for r in rows) == 1
+    assert sum(r["n_tokens"] for r in rows if r["doc_id"] == 4) > 90_000
+    docs = make_docs([])
+    for _, stage in C.STAGES:
+        docs = scratch.table(stage(spark, docs, sf))
+        assert docs.count() == 0
+
+
+def test_run_drops_what_later_stages_do_not_read(spark, sf, monkeypatch):
+    made = []
+    monkeypatch.setattr(C.scratch, "table", lambda df, table=scratch.table: made.append(table(df)) or made[-1])
+    out = C.run(spark, sf)
+    stages = [t for t in made if t.columns == spark.read.parquet(f"{sf}/documents.parquet").columns]
+    assert out.count() and len(stages) == 4 and not any(t._written_path in store._written for t in stages)
