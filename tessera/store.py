@@ -49,9 +49,9 @@ def drop(*tables: DataFrame) -> None:
 
 
 def size(df: DataFrame, lists: tuple[str, ...] = ()) -> int:
-    """About the bytes that df's rows take once broadcast: 16 a row and 16 for
-    each value, with each entry of the named array columns."""
-    row = F.lit(16 * (1 + len(df.columns)))
+    """About the bytes that df's rows take once broadcast as a hash table: 64 a row
+    and 16 for each value, with each entry of the named array columns."""
+    row = F.lit(64 + 16 * len(df.columns))
     for c in lists:
         row = row + 16 * F.greatest(F.size(c), F.lit(0))
     return df.agg(F.sum(row)).first()[0] or 0

@@ -19,9 +19,9 @@ def test_written_tables_are_read_back_and_dropped(spark):
 
 def test_size_counts_rows_and_entries_and_bounds_the_broadcast(spark):
     df = spark.createDataFrame([(1, [1, 2, 3]), (2, None)], "a long, b array<long>")
-    assert store.size(df) == 96 and store.size(df, ("b",)) == 144 and store.size(df.limit(0)) == 0
+    assert store.size(df) == 192 and store.size(df, ("b",)) == 240 and store.size(df.limit(0)) == 0
     hinted = lambda most: "ResolvedHint" in store.sent(df, most, ("b",))._jdf.queryExecution().analyzed().toString()
-    assert hinted(144) and not hinted(143)
+    assert hinted(240) and not hinted(239)
 
 
 def test_a_cluster_needs_a_shared_folder():
