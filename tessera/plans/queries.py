@@ -6,6 +6,8 @@ benchmark for tasks, orders and lineitem for dated records and citations.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from tessera.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from tessera.plans.registry import table as _t
 from tessera.sources import export, records
 
+
 def _chunks(spark, d) -> DataFrame:
     return _t(spark, d, "documents").select(F.col("doc_id").alias("pos"), "text", F.col("source").alias("doc_id"))
 
@@ -147,12 +150,13 @@ def bm25_topk(spark, d):
     return lexical.bm25(_chunks(spark, d), _items(spark, d), 10).select("query_id", F.col("pos").alias("doc_id"), "score", "rank")
 
 
-_RARE = "SELECT item_id AS query_id, regexp_extract(text, '[A-Za-z]{9,}') AS text FROM benchmark"
+_RARE = "SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN text ELSE regexp_extract(text, '[A-Za-z]{9,}') END AS text FROM benchmark"
 
 
 @query(sql.statement(sql.CORPUS, sql.asked(_RARE), sql.scored(), f"padded AS (SELECT q.query_id, l.doc_id, coalesce(s.score, 0.0) AS score FROM ({_RARE}) q CROSS JOIN lens l LEFT JOIN scored s ON q.query_id = s.query_id AND l.doc_id = s.doc_id)", sql.top("best", "padded", 10), select="SELECT query_id, doc_id, score, rank FROM best"))
 def bm25_zero_pad(spark, d):
-    rare = _items(spark, d).select("query_id", F.regexp_extract("text", "[A-Za-z]{9,}", 0).alias("text"))
+    """Whole items, and for every other one a single rare word, whose lists are short."""
+    rare = _items(spark, d).select("query_id", F.when(F.col("query_id") % 2 == 0, F.col("text")).otherwise(F.regexp_extract("text", "[A-Za-z]{9,}", 0)).alias("text"))
     return lexical.bm25(_chunks(spark, d), rare, 10, padded=True).select("query_id", F.col("pos").alias("doc_id"), "score", "rank")
 
 
@@ -420,13 +424,17 @@ _PACK = r"""list_reduce(list_transform(string_split(text, '. '), lambda s: {'don
 @query(rf"""WITH p AS (SELECT doc_id, text, CASE WHEN length(text) > 4096 THEN {_PACK} END AS r FROM documents),
 q AS (SELECT doc_id, CASE WHEN length(text) < 50 THEN [] WHEN r IS NULL THEN [text] WHEN trim(r.open) <> '' THEN list_append(r.done, r.open) ELSE r.done END AS pieces, text, r IS NOT NULL AS cut FROM p),
 a AS (SELECT doc_id, 0 AS position, 'abstract' AS section_type, substr(text, 1, 2048) AS text, length(substr(text, 1, 2048)) // 4 AS token_estimate FROM documents WHERE length(text) > 0),
+n AS (SELECT q.doc_id, q.text, lang, len(pieces) + 1 AS place FROM q JOIN documents USING (doc_id)),
+c AS (SELECT doc_id, place AS position, 'caption' AS section_type, substr(text, 1, 1024) AS text, length(substr(text, 1, 1024)) // 4 AS token_estimate FROM n WHERE length(text) > 30),
+t AS (SELECT doc_id, place + (length(text) > 30)::INTEGER AS position, 'table' AS section_type, substr(lang || ' ' || text, 1, 2048) AS text, length(substr(lang || ' ' || text, 1, 2048)) // 4 AS token_estimate FROM n WHERE length(lang || ' ' || text) > 30),
 b AS (SELECT doc_id, i AS position, 'body' AS section_type, CASE WHEN cut THEN regexp_replace(pieces[i], '^\s+|\s+$', '', 'g') ELSE pieces[i] END AS text, length(pieces[i]) // 4 AS token_estimate FROM (SELECT *, unnest(range(1, len(pieces) + 1)) AS i FROM q))
-SELECT doc_id, position, section_type, md5(text) AS text_md5, token_estimate, doc_id || '_' || section_type || '_' || position AS chunk_id FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""")
+SELECT doc_id, position, section_type, md5(text) AS text_md5, token_estimate, doc_id || '_' || section_type || '_' || position AS chunk_id FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM t)""")
 def structural_chunks(spark, d):
-    """Each text is its own abstract and one section."""
+    """Each text is its own abstract, one section, a caption and a table's body."""
     section = F.array(F.struct(F.lit("").alias("heading"), F.lit("body").alias("section_type"), F.lit("").alias("parent_heading"), F.col("text"), F.length("text").alias("char_count")))
-    none = lambda c: F.array().cast(f"array<{c}>")
-    docs = _t(spark, d, "documents").select("doc_id", F.col("text").alias("abstract"), section.alias("sections"), none(schema.FIGURE).alias("figure_captions"), none(schema.TABLE).alias("table_texts"))
+    figure = F.array(F.struct(F.lit("f1").alias("figure_id"), F.lit(None).cast("string").alias("label"), F.col("text").alias("caption")))
+    cells = F.array(F.struct(F.lit("t1").alias("table_id"), F.lit("Table 1").alias("label"), F.col("lang").alias("caption"), F.col("text").alias("body_text")))
+    docs = _t(spark, d, "documents").select("doc_id", F.col("text").alias("abstract"), section.alias("sections"), figure.alias("figure_captions"), cells.alias("table_texts"))
     return corpus.chunks(docs).select("doc_id", F.col("position").cast("long").alias("position"), "section_type", F.md5("text").alias("text_md5"), F.col("token_estimate").cast("long").alias("token_estimate"), "chunk_id")
 
 
@@ -720,16 +728,18 @@ def workflow_metrics(spark, d):
     return metrics.workflow(t)
 
 
-@query("SELECT source AS task_id, count(*) AS n_docs, CASE WHEN source LIKE '%1' THEN 0 ELSE count(*) END AS n_gold FROM (SELECT source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS o FROM documents) WHERE o <= 5 GROUP BY source")
+@query("""SELECT source AS task_id, count(*) AS n_docs, CASE WHEN source LIKE '%1' THEN 0 ELSE count(*) END AS n_gold, 'What of ' || md5('Write a question.' || chr(10) || chr(10) || string_agg('Paper ' || o || ': ' || lang || ' (n.d.)' || chr(10) || substr(text, 1, 800) || chr(10) || 'Terms: ' || lang, chr(10) || chr(10) ORDER BY o)) || '?' AS question
+FROM (SELECT source, lang, text, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS o FROM documents) WHERE o <= 5 GROUP BY source""")
 def task_generation(spark, d):
-    """Clusters to prompts to tasks, with a stand-in for the model."""
+    """Clusters of five to prompts to tasks; the stand-in for the model answers with
+    its prompt's MD5."""
     docs = _t(spark, d, "documents")
     members = sampling.group_sample(docs, ["source"], 5).select(F.col("source").alias("task_id"), "ordinal", "doc_id", F.col("lang").alias("title"), F.lit(None).cast("int").alias("year"), F.col("text").alias("abstract"), F.array("lang").alias("mesh_terms"))
     prompts = generate.cluster_prompts(members, "Write a question.")
-    replies = generate.ask(prompts, lambda batch: [f'Sure: {{"question": "what of {len(p) > 0}?"}}' for p in batch])
+    replies = generate.ask(prompts, lambda batch: [f'Sure: {{"question": "What of {hashlib.md5(p.encode()).hexdigest()}?"}}' for p in batch])
     clusters = prompts.select("task_id", F.when(F.col("task_id").endswith("1"), "abstention").otherwise("multihop").alias("task_family"), F.lit("hard").alias("difficulty"), "doc_ids")
     t = generate.tasks_from_replies(replies, clusters, "grounded")
-    return t.select("task_id", F.col("cluster_size").cast("long").alias("n_docs"), F.size("supporting_doc_ids").cast("long").alias("n_gold"))
+    return t.select("task_id", F.col("cluster_size").cast("long").alias("n_docs"), F.size("supporting_doc_ids").cast("long").alias("n_gold"), "question")
 
 
 from tessera.plans import connectors, evaluation, parsing  # noqa: E402, F401 - they add their queries
