@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 import corpus_pipeline as C
@@ -64,3 +66,17 @@ def test_run_drops_what_later_stages_do_not_read(spark, sf, monkeypatch):
     out = C.run(spark, sf)
     stages = [t for t in made if t.columns == spark.read.parquet(f"{sf}/documents.parquet").columns]
     assert out.count() and len(stages) == 4 and not any(t._written_path in store._written for t in stages)
+
+
+def test_near_copies_stage_misses_no_link(spark, sf, make_docs):
+    """Of pairs of ten words with three changed, every second one goes."""
+    rng = random.Random(29)
+    rows = []
+    for i in range(0, 200, 2):
+        base = [f"w{rng.randrange(3000)}" for _ in range(10)]
+        copy = list(base)
+        for at in rng.sample(range(10), 3):
+            copy[at] = f"z{rng.randrange(10**9)}"
+        rows += [(i, " ".join(base)), (i + 1, " ".join(copy))]
+    kept = C.near_copies_out(spark, make_docs(rows), sf)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 200, 2))
