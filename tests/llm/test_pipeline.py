@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as C
@@ -80,3 +81,26 @@ def test_near_copies_stage_misses_no_link(spark, sf, make_docs):
         rows += [(i, " ".join(base)), (i + 1, " ".join(copy))]
     kept = C.near_copies_out(spark, make_docs(rows), sf)
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 200, 2))
+
+
+def test_stages_set_small_batches_and_run_resets_them(spark, sf, make_docs):
+    """Ten MB of texts after each stage: no batch holds much more than its bound."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, b.column(0).to_pylist()))])], names=["n"])
+
+    texts = spark.range(40, numPartitions=1).selectExpr("repeat('word ', 50000) text")
+    try:
+        for _, stage in C.STAGES:
+            spark.conf.set(setting, before)
+            stage(spark, make_docs([]), sf)
+            got = [r["n"] for r in texts.mapInArrow(sizes, "n long").collect()]
+            assert sum(got) == 10_000_000 and max(got) <= (4 << 20) + 250_000
+        spark.conf.set(setting, "48m")
+        C.run(spark, sf)
+        assert spark.conf.get(setting) == "48m"
+    finally:
+        spark.conf.set(setting, before)
