@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera import store
+
 SEED = 42
 
 
@@ -41,7 +43,10 @@ def expand(roots: DataFrame, edges: DataFrame, direction: str = "both", most: in
     if not parts:
         raise ValueError(f"unknown direction {direction!r}")
     every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    near = every.join(roots.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+    roots = roots.select("doc_id")
+    n = store.parts(every, roots)
+    # moved before they are told apart, so that no task of the scan holds its part's keys
+    near = every.repartition(n, "doc_id").join(roots.repartition(n, "doc_id").distinct(), "doc_id", "left_semi").distinct()
     return near.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy("neighbour"))).where(F.col("ordinal") <= most)
 
 
