@@ -87,6 +87,7 @@ def summary(runs: DataFrame) -> DataFrame:
 
 def fused_rollouts(rollouts: DataFrame, k: int = 20, constant: int = 60) -> DataFrame:
     """Rank fusion over (query_id, rollout, doc_id, rank) of several runs."""
+    rollouts = rollouts.select("query_id", "doc_id", "rollout", "rank").repartition(store.parts(rollouts), "query_id")
     fused = rollouts.groupBy("query_id", "doc_id").agg(F.round(F.sum(1 / (constant + F.col("rank"))), 9).alias("score"), F.min(F.struct("rollout", "rank")).alias("first"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "first", "doc_id")
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("first")
