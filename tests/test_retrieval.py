@@ -153,3 +153,18 @@ def test_engine(spark, chunks, docs, asked):
 def test_expansion_is_capped(spark):
     e = spark.createDataFrame([("a", f"b{i:02}") for i in range(60)] + [("a", "a")], "src string, dst string")
     assert graph.expand(spark.createDataFrame([("a",)], "doc_id string"), e).count() == 50
+
+
+def test_dense_moves_each_side_as_often_as_the_cores_ask(spark, monkeypatch):
+    """Blocks grow with the rows up to their bytes, so the copies of a row don't."""
+    assert dense._grid(600_000, 600_000, 12, 131_072) == (5, 5) and dense._grid(60_000, 60_000, 12, 131_072) == (5, 5)
+    assert dense._grid(3_000_000, 60_000, 12, 131_072)[1] == 1 and dense._grid(100, 100, 12, 131_072) == (1, 1)
+    assert dense._grid(1_000_000, 1_000_000, 4, 10_000) == (100, 100)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (9000, 4)).astype(float)  # many equal scores, over two runs of 4,096 entries
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "pos long, vector array<double>")
+    got = dense.search(e, e.where("pos % 300 = 7").withColumnRenamed("pos", "query_id"), 5, block=9000).toPandas()
+    unit = x / np.where(np.linalg.norm(x, axis=1) == 0, 1, np.linalg.norm(x, axis=1))[:, None]
+    for q, part in got.groupby("query_id"):
+        s = np.round(unit @ unit[q], 6)
+        assert part.sort_values("rank").pos.tolist() == np.lexsort((np.arange(9000), -s))[:5].tolist()
