@@ -87,11 +87,17 @@ def save_texts(found: DataFrame, done: DataFrame, key: str, path: str, suffix: s
     return log.select(key, status.alias("status"), F.when(status == "saved", F.length("payload")).otherwise(0).alias("n_chars"))
 
 
-def write_traces(trace: DataFrame, path: str, key: str = "query_id") -> None:
-    """One JSON object a task: its rounds in order, each with all other columns."""
+def write_traces(trace: DataFrame, path: str, key: str = "query_id", apart: bool = False) -> None:
+    """One JSON object a task, a line each: its rounds in order, each with all other
+    columns.  A file holds many tasks, as a file each costs far more than its rows;
+    ``apart`` gives each task its own, in ``task=<id>``."""
     rest = [c for c in trace.columns if c not in (key, "round")]
     rounds = F.array_sort(F.collect_list(F.struct("round", *rest)))
-    trace.groupBy(key).agg(rounds.alias("rounds")).withColumn("task", F.col(key)).write.mode("overwrite").partitionBy("task").json(path)
+    tasks = trace.groupBy(key).agg(rounds.alias("rounds"))
+    if apart:
+        tasks.withColumn("task", F.col(key)).write.mode("overwrite").partitionBy("task").json(path)
+    else:
+        tasks.write.mode("overwrite").json(path)
 
 
 def pages(first: str, page: Callable[[str, str | None], tuple[list, str | None]], most: int) -> Iterator[str]:

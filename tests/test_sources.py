@@ -104,3 +104,16 @@ def test_stream_takes_a_key_once(spark, sf, tmp_path):
     r = ingest.rolling_counts(stream, "ts", "event_type").writeStream.format("memory").outputMode("complete").queryName("counts").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     r.awaitTermination()
     assert spark.table("counts").groupBy().sum("n").first()[0] == 2 * e.count()
+
+
+def test_traces_are_lines_in_few_files_or_apart(spark, tmp_path):
+    trace = spark.range(60).selectExpr("id % 20 as query_id", "cast(3 - id div 20 as int) as round", "cast(id as string) as action")
+    schema = "query_id long, rounds array<struct<round: int, action: string>>"
+    got = {}
+    for name in ("lines", "apart"):
+        path = tmp_path / name
+        connect.write_traces(trace, str(path), apart=name == "apart")
+        got[name] = {r["query_id"]: [(x["round"], x["action"]) for x in r["rounds"]] for r in spark.read.schema(schema).json(str(path)).collect()}
+        files = len(list(path.rglob("*.json")))
+        assert files == 20 if name == "apart" else files <= 4
+    assert got["lines"] == got["apart"] and got["lines"][7] == [(1, "47"), (2, "27"), (3, "7")]
