@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tessera import schema
 from tessera.functions import text as T
@@ -186,14 +191,35 @@ def articles(files: DataFrame, key: str = "pmcid", xml: str = "xml") -> DataFram
     """Full-text XML as PARSED rows; mixed content needs a walk, in batches.
     Rows that aren't XML are dropped."""
     nested = f"array<{schema.SECTION}>", f"array<{schema.FIGURE}>", f"array<{schema.TABLE}>"
+    kind = files.schema[key].dataType.simpleString()
+    fields = f"pmcid {kind}, title string, abstract string, sections {nested[0]}, figure_captions {nested[1]}, table_texts {nested[2]}"
+    parse = lambda k, x: [{"pmcid": k, **r} for r in [parse_article(x)] if r]
+    return counted(_parsed(files.select(key, F.col(xml).alias("__xml")), parse, fields))
+
+
+SLICE_BYTES = 1 << 20
+
+
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose last column has at most ``most`` bytes, or one longer row."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.columns[-1]), 0).to_numpy()), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _parsed(rows: DataFrame, parse: Callable[..., list[dict]], fields: str) -> DataFrame:
+    """Rows that ``parse`` makes of each row, whose last column is a text, in slices of
+    ``SLICE_BYTES`` bytes: only a slice is Python objects at a time."""
+    types, most = to_arrow_schema(StructType.fromDDL(fields)), SLICE_BYTES
 
     def fn(batches):
         for b in batches:
-            rows = [(k, parse_article(x)) for k, x in zip(b[key], b["__xml"])]
-            yield pd.DataFrame([{"pmcid": k, **r} for k, r in rows if r], columns=["pmcid", "title", "abstract", "sections", "figure_captions", "table_texts"])
+            for part in _slices(b, most):
+                yield pa.RecordBatch.from_pylist([r for row in zip(*(c.to_pylist() for c in part.columns)) for r in parse(*row)], schema=types)
 
-    kind = files.schema[key].dataType.simpleString()
-    return counted(files.select(key, F.col(xml).alias("__xml")).mapInPandas(fn, f"pmcid {kind}, title string, abstract string, sections {nested[0]}, figure_captions {nested[1]}, table_texts {nested[2]}"))
+    return rows.mapInArrow(fn, fields)
 
 
 def _id_of(nodes, attribute: str, kind: str) -> str:
@@ -238,12 +264,30 @@ def parse_records(xml: str | None) -> list[dict]:
 
 def metadata(responses: DataFrame, xml: str = "xml") -> DataFrame:
     """Metadata XML responses as METADATA rows."""
-    names = ["pmid", "pmcid", "doi", "title", "abstract", "year", "venue", "venue_abbrev", "authors", "mesh_terms", "publication_types", "keywords", "source"]
+    return _parsed(responses.select(F.col(xml).alias("__xml")), parse_records, schema.METADATA)
+
+
+def inverted_indexes(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, index): each text as a map of its words to their positions, made within
+    the row; null for a null text.  T.text_of_inverted_index turns it back."""
+    kind = texts.schema[key].dataType.simpleString()
 
     def fn(batches):
         for b in batches:
-            out = pd.DataFrame([r for x in b["__xml"] for r in parse_records(x)], columns=names)
-            out["year"] = out["year"].astype("Int32")
-            yield out
-
-    return responses.select(F.col(xml).alias("__xml")).mapInPandas(fn, schema.METADATA)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                ends, words, places, at_words = [], [], [0], []
+                for t in part.column(1).to_pylist():
+                    ends.append(None if t is None else len(words))
+                    own: dict[str, list[int]] = {}
+                    for i, w in enumerate(() if t is None else t.split(" ")):
+                        own.setdefault(w, []).append(i)
+                    for w, found in own.items():
+                        words.append(w)
+                        at_words += found
+                        places.append(len(at_words))
+                lists = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(at_words, pa.int32()))
+                index = pa.MapArray.from_arrays(pa.array([*ends, len(words)], pa.int32()), pa.array(words, pa.string()), lists)
+                yield pa.RecordBatch.from_arrays([part.column(0), index], names=[key, "index"])
+
+    return texts.select(key, text).mapInArrow(fn, f"{key} {kind}, index map<string, array<int>>")

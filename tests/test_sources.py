@@ -2,9 +2,12 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import schema
+from tessera.functions import text as T
 from tessera.sources import connect, export, records, settings
 from tessera.streaming import ingest
 
@@ -117,3 +120,24 @@ def test_traces_are_lines_in_few_files_or_apart(spark, tmp_path):
         files = len(list(path.rglob("*.json")))
         assert files == 20 if name == "apart" else files <= 4
     assert got["lines"] == got["apart"] and got["lines"][7] == [(1, "47"), (2, "27"), (3, "7")]
+
+
+def test_texts_are_parsed_in_slices(spark, monkeypatch):
+    """Python objects of a slice only: what leaves a batch of 40 rows comes in several."""
+    monkeypatch.setattr(records, "SLICE_BYTES", 100)
+    rows = spark.createDataFrame([(i, None if i == 5 else "x" * (i % 4) * 30) for i in range(40)], "id long, text string").coalesce(1)
+    got = records._parsed(rows, lambda i, t: [{"id": i, "n": len(t or ""), "words": [t, None]}] * (i % 3), "id long, n int, words array<string>")
+    assert sorted((r["id"], r["n"], r["words"][0] or "") for r in got.collect()) == sorted((r["id"], len(r["text"] or ""), r["text"] or "") for r in rows.collect() for _ in range(r["id"] % 3))
+    batch = rows.toArrow().combine_chunks().to_batches()[0]
+    parts = list(records._slices(batch, 100))
+    assert len(parts) > 10 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+
+
+def test_inverted_indexes_are_made_within_rows(spark):
+    """Repeated ids and null texts keep their rows."""
+    rows = spark.createDataFrame([(1, "a b a "), (1, "other"), (2, ""), (3, None)] + [(9, "w " * 700)], "id long, text string")
+    got = records.inverted_indexes(rows, "id")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    back = sorted(got.select("id", F.when(F.col("index").isNotNull(), T.text_of_inverted_index("index")).alias("t")).collect(), key=str)
+    assert back == sorted(rows.collect(), key=str)
+    assert got.where("id = 1").orderBy(F.size("index").desc()).first()["index"] == {"a": [0, 2], "b": [1], "": [3]}
