@@ -80,10 +80,10 @@ def _holders(block: pa.Table):
             auto.make_automaton()
         for b in batches if owners else ():
             query, doc = [], []
-            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for t in {t for _, t in auto.iter(text)}:
+            for d, text in zip(*b.columns):  # one text at a time is a Python object
+                for t in {t for _, t in auto.iter(text.as_py())}:
                     query += owners[t]
-                    doc += [d] * len(owners[t])
+                    doc += [d.as_py()] * len(owners[t])
             yield pa.RecordBatch.from_arrays([pa.array(query, kind), pa.array(doc, b.column(0).type)], names=["query_id", "doc_id"])
 
     return fn

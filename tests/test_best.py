@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import best, lexical
+from tessera.operators import best, lexical, verify
 from test_text import plain_tokens
 
 
@@ -95,3 +95,27 @@ def test_sparse_vectors_equal_rows(spark):
     asked = spark.createDataFrame([(1, "a", 1.0), (1, "b", 3.0), (2, "c", -2.0)], "query_id long, term string, weight double")
     rows = lambda df: sorted(map(tuple, df.select("query_id", "pos", "score", "rank").collect()))
     assert rows(lexical.sparse(vectors, asked, 3)) == rows(lexical.sparse(flat, asked, 3)) == [(1, 1, 6.5, 1), (1, 2, -3.0, 3), (1, 4, 6.0, 2), (2, 2, -2.0, 1)]
+
+
+def test_texts_of_a_batch_are_not_all_python_objects():
+    """Memory of the automaton's scan is one text and the batch, not the batch twice."""
+
+    class Batch:
+        columns = (pa.array([1, 2, 3]), pa.array(["a red sea", "none", "red"]))
+
+        def column(self, i):
+            assert i == 0, "the texts as a whole"
+            return self.columns[i]
+
+    block = pa.table({"query_id": [7, 8], "text": ["red", "sea"]})
+    got = pa.Table.from_batches(verify._holders(block)([Batch()]))
+    assert sorted(zip(*got.to_pydict().values())) == [(7, 1), (7, 3), (8, 1)]
+
+
+def test_codes_are_made_a_slice_at_a_time(monkeypatch):
+    asked = pa.table({"query_id": [1], "term": ["a"], "w": [1.0]})
+    scan, seen = best.Scan(*best.blocks(asked, 4), 2, [lambda tf, size: tf]), []
+    codes = scan._codes
+    monkeypatch.setattr(scan, "_codes", lambda terms: seen.append(len(terms)) or codes(terms))
+    scan.add(pa.array(range(50)), pa.array([["a", "b"]] * 50), rows=5)
+    assert max(seen) == 10 and sum(seen) == 100
