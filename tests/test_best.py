@@ -119,3 +119,14 @@ def test_codes_are_made_a_slice_at_a_time(monkeypatch):
     monkeypatch.setattr(scan, "_codes", lambda terms: seen.append(len(terms)) or codes(terms))
     scan.add(pa.array(range(50)), pa.array([["a", "b"]] * 50), rows=5)
     assert max(seen) == 10 and sum(seen) == 100
+
+
+def test_a_built_index_is_searched_without_postings(spark):
+    chunks = spark.createDataFrame([(i, t) for i, t in enumerate(["red apple", "green pear", "red pear pear", "stone", "sea sand"])], "pos long, text string")
+    asked = spark.createDataFrame([(1, "red"), (2, "pear stone"), (3, "nothing")], "query_id long, text string")
+    index = lexical.build(chunks)
+    index.lists = None
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "rank", "pos").collect()))
+    assert rows(lexical.search(index, asked, 2)) == [(1, 1, 0), (1, 2, 2), (2, 1, 3), (2, 2, 2)]
+    assert rows(lexical.search(index, asked, 3, padded=True))[:3] == [(1, 1, 0), (1, 2, 2), (1, 3, 1)] and rows(lexical.search(index, asked, 3, padded=True))[-3:] == [(3, 1, 0), (3, 2, 1), (3, 3, 2)]
+    assert rows(lexical.rm3(index, asked, 2))
